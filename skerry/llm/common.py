@@ -48,14 +48,25 @@ def scratch_mark() -> int:
     return len(_made)
 
 
-def release_scratch(spark: SparkSession, upto: int | None = None) -> None:
-    """Delete scratch tables made so far (the first ``upto``); only once nothing reads them."""
-    upto = len(_made) if upto is None else upto
+def scratch_since(mark: int) -> list[str]:
+    return _made[mark:]
+
+
+def release_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; only once nothing reads them any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _made[:upto]:
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    del _made[:upto]
+    _made[:] = [p for p in _made if p not in paths]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def fold_ascii(text):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, is_empty, materialize
+from .common import fold_ascii, fresh, is_empty, materialize
 
 
 def sha256_digest(text: Column) -> Column:
@@ -70,8 +70,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = not is_empty(marks.groupBy("doc_id").count().where("count > 1 or doc_id is null"))
     if repeated:
         # Ids do not tell rows apart here: one row per kept id and text.
-        kept = marks.where("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
-        rows = docs.withColumn("_sha", F.sha2(fold_ascii(F.col(text_col)), 256))
-        cond = rows[id_col].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["text_sha256"])
-        return rows.join(kept, cond, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+        sha = fresh(docs, "sha")
+        kept = marks.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+        rows = docs.withColumn(sha, F.sha2(fold_ascii(F.col(text_col)), 256))
+        cond = rows[id_col].eqNullSafe(kept["_id"]) & (rows[sha] == kept["_sha"])
+        return rows.join(kept, cond, "left_semi").dropDuplicates([id_col, sha]).drop(sha)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

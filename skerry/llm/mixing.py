@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, fresh, materialize
 
 #: Sources in order of code points weigh 1, 2, 3, 1, 2, 3, ...
 WEIGHTS = (1, 2, 3)
@@ -93,9 +93,11 @@ def mix(docs: DataFrame, seed: int = 17, max_repeat: int = 3, id_col: str = "doc
     """``docs`` with each row repeated as often as the mix takes it; all columns stay."""
     text = F.col(text_col)
     targets = materialize(source_targets(docs.select(F.col(source_col).alias("source"), count_words(text).alias("size")), max_repeat), "mix-targets")
-    t = targets.select(F.col("source").alias("_s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0)).alias("_rate"))
+    key, rate, copy = (fresh(docs, n) for n in ("_key", "_rate", "_copy"))
+    value = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
+    t = targets.select(F.col("source").alias(key), value.alias(rate))
     nameless = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(text, F.lit(""))))
     u = uniform(seed, F.col(id_col), F.coalesce(nameless, F.lit("")))
-    rows = docs.join(t, F.col(source_col).eqNullSafe(F.col("_s")))
-    copies = (F.floor("_rate") + F.when(u < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
+    rows = docs.join(t, docs[source_col].eqNullSafe(t[key]))
+    copies = (F.floor(rate) + F.when(u < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
