@@ -64,7 +64,7 @@ def best_fit_packing(
     text_col: str = "text",
     capacity: int = CAPACITY,
     separator: int = SEPARATOR,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 200,
 ) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -82,9 +82,10 @@ def best_fit_packing(
     hist = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     placement = spark.sparkContext.broadcast(Placement(pack(hist, capacity)))
 
-    n_buckets = max(1, sum(hist.values()) // bucket_rows)
-    # Equal rows may share a bucket: they are alike in all that the result shows.
-    rows = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)))
+    # A common length has as many buckets as it needs to be ranked by many tasks.
+    n_buckets = F.lit([max(1, hist.get(n, 0) // bucket_rows) for n in range(1, capacity + 1)])
+    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
+    rows = found.withColumn("bucket", F.pmod(spread, F.element_at(n_buckets, F.col("length").cast("int"))))
     per = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = per.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
