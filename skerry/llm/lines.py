@@ -25,12 +25,14 @@ def _split(text):
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def widespread_lines(lines: DataFrame, min_sites: int = 5, lg_k: int = 12, band: float = 0.1) -> DataFrame:
+def widespread_lines(lines: DataFrame, min_sites: int = 5, lg_k: int = 12, deviations: float = 6.0) -> DataFrame:
     """(line) hashes found on ``min_sites`` or more sites, of a table (line, site).
 
     A sketch of 2**lg_k registers errs by 1.04 / sqrt(2**lg_k) of the count (one
-    standard deviation); ``band`` should be several times that. A null site is none.
+    standard deviation); estimates within ``deviations`` of these around the threshold
+    are in doubt. A null site is none.
     """
+    band = deviations * 1.04 / (1 << lg_k) ** 0.5
     sketches = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
     spread = materialize(sketches.where(F.col("sites") >= min_sites * (1 - band)), "line-spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + band)).select("line")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .textops import HASH_A, blocks, buffers, mix64, per_doc, windows, words
@@ -216,12 +217,14 @@ def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scorer(models):
+def _scorer(models, keep: int):
+    """Batches of (kept columns..., text, fold) to (kept columns..., features, n_bytes, nll)."""
+
     def score(batches):
         tables = [np.full(1 << (ORDER * BITS), np.nan, np.float32) for _ in range(FOLDS)]
         for b in batches:
-            data, off = buffers(b.column(2))
-            fold = b.column(3).to_numpy()
+            data, off = buffers(b.column(keep))
+            fold = b.column(keep + 1).to_numpy()
             cols = {c: [] for c in (*FEATURES, "nll", "n_bytes")}
             for i, j in blocks(off):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -243,33 +246,68 @@ def _scorer(models):
                 cols["nll"].append(-np.add.reduceat(lp, ko[:-1], dtype=np.float64) / lens)
                 cols["n_bytes"].append(np.diff(o))
             arrays = {c: np.concatenate(v) if v else np.zeros(0) for c, v in cols.items()}
-            yield pa.record_batch(
-                [b.column(0), b.column(1), *[pa.array(arrays[c].astype(np.int64)) for c in (*FEATURES, "n_bytes")], pa.array(arrays["nll"].astype(np.float64))],
-                names=["doc_id", "lang", *FEATURES, "n_bytes", "nll"],
-            )
+            found = [*(arrays[c].astype(np.int64) for c in (*FEATURES, "n_bytes")), arrays["nll"].astype(np.float64)]
+            names = [*b.schema.names[:keep], *_SCORES]
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], *map(pa.array, found)], names=names)
 
     return score
 
 
-def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row per document: doc_id, lang, the base features, n_bytes and nll.
+_SCORES = (*(f"_{c}" for c in FEATURES), "_n_bytes", "_nll")
 
-    nll is the mean negative log probability of a text's symbols (log perplexity)
-    under the model of the other half. A null text counts as empty.
-    """
-    spark = docs.sparkSession
+
+def fit_models(docs: DataFrame, text_col: str = "text"):
+    """The two halves' models, broadcast; a text belongs to the half its hash names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    fold = F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
-    counted = docs.select(text.alias("text"), fold.alias("fold")).mapInArrow(_count, "fold int, key int, n long")
+    counted = docs.select(text.alias("text"), _fold(text).alias("fold")).mapInArrow(_count, "fold int, key int, n long")
     rows = counted.groupBy("fold", "key").agg(F.sum("n").alias("n")).toArrow()  # at most FOLDS * 2**20 rows
     f, k, n = (rows.column(c).to_numpy() for c in ("fold", "key", "n"))
     models = []
     for i in range(FOLDS):
         o = np.argsort(k[f == i])
         models.append(KneserNey(k[f == i][o], n[f == i][o]))
-    models = spark.sparkContext.broadcast(models)
-    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in FEATURES) + ", n_bytes long, nll double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"), fold.alias("fold")).mapInArrow(_scorer(models), schema)
+    return docs.sparkSession.sparkContext.broadcast(models)
+
+
+def _fold(text):
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def score_rows(docs: DataFrame, models, keep: list, text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and each text's features, n_bytes and nll, names led by an underscore.
+
+    nll is the mean negative log probability of a text's symbols (log perplexity)
+    under the model of the other half. A null text counts as empty.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(*keep, text.alias("_text"), _fold(text).alias("_fold"))
+    more = [T.StructField(c, T.DoubleType() if c == "_nll" else T.LongType()) for c in _SCORES]
+    return rows.mapInArrow(_scorer(models, len(keep)), T.StructType([*rows.schema.fields[: len(keep)], *more]))
+
+
+def _base_failed(min_words: int, max_repeat_percent: int):
+    return (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat_percent * F.col("_n_words"))
+
+
+def fit_bands(scores: DataFrame, lang_col: str) -> DataFrame:
+    """(_lang, _center, _mad): median and median absolute deviation of nll by language, of scores that pass the base."""
+    good = scores.where(~F.col("_failed"))
+    center = good.groupBy(F.col(lang_col).alias("_lang")).agg(F.percentile_approx("_nll", 0.5, 10000).alias("_center"))
+    center = materialize(center, "quality-centers")
+    away = F.abs(F.col("_nll") - F.col("_center"))
+    bands = good.join(center, F.col(lang_col).eqNullSafe(F.col("_lang"))).groupBy("_lang").agg(F.first("_center").alias("_center"), F.percentile_approx(away, 0.5, 10000).alias("_mad"))
+    return materialize(bands, "quality-bands")
+
+
+def _inside(width: float, floor: float, short_bytes: int):
+    reach = F.greatest(F.lit(width * 1.4826) * F.col("_mad"), F.lit(floor)) * F.sqrt(1 + F.lit(float(short_bytes)) / F.greatest(F.col("_n_bytes"), F.lit(1)))
+    lower, upper = F.col("_center") - reach, F.col("_center") + reach
+    return lower, upper, F.coalesce(F.col("_nll").between(lower, upper), F.lit(True))
+
+
+#: Bands: robust deviations, least half-width, and the length below which they widen.
+WIDTH, FLOOR, SHORT = 8.0, 0.15, 800
+MIN_WORDS, MAX_REPEAT = 10, 20
 
 
 def quality_rules(
@@ -277,11 +315,11 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    min_words: int = 10,
-    max_repeat_percent: int = 20,
-    width: float = 8.0,
-    floor: float = 0.15,
-    short_bytes: int = 800,
+    min_words: int = MIN_WORDS,
+    max_repeat_percent: int = MAX_REPEAT,
+    width: float = WIDTH,
+    floor: float = FLOOR,
+    short_bytes: int = SHORT,
 ) -> DataFrame:
     """A row per document: features, base_failed, nll, lower, upper, kept.
 
@@ -295,29 +333,30 @@ def quality_rules(
     language is a language of its own. Empty tables give an empty result; other
     columns are unread; repeated rows are judged alike.
     """
-    scores = quality_scores(docs, id_col, text_col, lang_col)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    scores = materialize(scores.withColumn("base_failed", failed), "quality-scores")
-    good = scores.where(~F.col("base_failed"))
-    center = good.groupBy("lang").agg(F.percentile_approx("nll", 0.5, 10000).alias("center"))
-    center = materialize(center, "quality-centers").withColumnRenamed("lang", "_l")
-    spread = good.join(center, F.col("lang").eqNullSafe(F.col("_l"))).groupBy("lang").agg(
-        F.first("center").alias("center"), F.percentile_approx(F.abs(F.col("nll") - F.col("center")), 0.5, 10000).alias("mad")
-    )
-    bands = materialize(spread, "quality-bands").withColumnRenamed("lang", "_l")
-    rows = scores.join(bands, F.col("lang").eqNullSafe(F.col("_l")), "left")
-    reach = F.greatest(F.lit(width * 1.4826) * F.col("mad"), F.lit(floor)) * F.sqrt(1 + F.lit(float(short_bytes)) / F.greatest(F.col("n_bytes"), F.lit(1)))
-    rows = rows.withColumns({"lower": F.col("center") - reach, "upper": F.col("center") + reach})
-    inside = F.coalesce(F.col("nll").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return rows.select("doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "nll", "lower", "upper")
-
-
-def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without what ``quality_rules`` rejects; all columns stay.
-
-    A row goes if the rules reject its id; rows with a null id have no mark and are
-    judged by the base rules' word count alone.
+    keep = [F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang")]
+    scores = score_rows(docs, fit_models(docs, text_col), keep, text_col).withColumn("_failed", _base_failed(min_words, max_repeat_percent))
+    scores = materialize(scores, "quality-scores")
+    rows = scores.join(fit_bands(scores, "lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    lower, upper, inside = _inside(width, floor, short_bytes)
+    features = [F.col(f"_{c}").alias(c) for c in FEATURES]
+    kept = ~F.col("_failed") & inside
+    return rows.select("doc_id", *features, F.col("_failed").alias("base_failed"), kept.alias("kept"), "lang", F.col("_nll").alias("nll"), lower.alias("lower"), upper.alias("upper"))
+
+
+def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows that ``quality_rules`` rejects; all columns stay.
+
+    Texts are scored once for the bands and once more as the rows are filtered where
+    they lie: no text is shuffled, and ids need not tell rows apart.
     """
-    marks = materialize(quality_rules(docs, id_col, text_col, lang_col), "quality-marks")
-    gone = marks.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    text, lang = names[text_col], names[lang_col]
+    models = fit_models(rows, text)
+    failed = _base_failed(MIN_WORDS, MAX_REPEAT)
+    scores = score_rows(rows, models, [F.col(lang).alias("lang")], text).withColumn("_failed", failed)
+    bands = fit_bands(materialize(scores, "quality-scores"), "lang")
+    marked = score_rows(rows, models, [*names.values()], text)
+    _, _, inside = _inside(WIDTH, FLOOR, SHORT)
+    kept = marked.join(bands, F.col(lang).eqNullSafe(F.col("_lang")), "left").where(~failed & inside)
+    return kept.select([F.col(n).alias(c) for c, n in names.items()])
