@@ -39,8 +39,9 @@ def test_exact_odd_rows(spark):
 
 def test_exact_texts_of_one_digest_stay_apart(spark):
     rows = [(i, t) for i, t in enumerate(["a", "A", "b", "c", "B", "", None, "dd", "a"])]
-    short = exact.exact_dedup(table(spark, rows), digest=lambda c: F.lit("same"))
-    assert rows_of(short) == exact_plain(rows)
+    for share in (1e-4, 2.0):
+        short = exact.exact_dedup(table(spark, rows), hot_share=share, digest=lambda c: F.lit("same"))
+        assert rows_of(short) == exact_plain(rows)
 
 
 def test_exact_hot_group_and_empty_table(spark):
@@ -213,4 +214,5 @@ def test_lines_near_and_far_from_the_threshold(spark):
     df = table(spark, rows)
     assert rows_of(lines.remove_boilerplate(df)) == lines_plain(rows, 5)
     assert rows_of(lines.remove_boilerplate(df, min_sites=40, lg_k=4)) == rows_of(lines.remove_boilerplate(df, min_sites=40)) == lines_plain(rows, 40)
+    assert rows_of(lines.remove_boilerplate(df, max_sent=1)) == lines_plain(rows, 5)
     assert lines.remove_boilerplate(table(spark, [])).count() == 0
