@@ -2,7 +2,7 @@
 
 Stages: every map task combines equal texts of its own rows (the partial
 aggregate), groups of (digest, salt, text) merge with the salt taken from the
-task, and the winners of the salts combine globally. The text itself is part of
+task where the digest is hot, and the winners of the salts combine globally. The text itself is part of
 the grouping key at each stage, so digests only route rows and two texts with
 one digest never merge.
 """
@@ -24,6 +24,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     salts: int = 32,
+    hot_share: float = 1e-4,
     digest=sha256_digest,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
@@ -33,25 +34,35 @@ def exact_dedup(
     that repeat an id along with its text are rows of the group like any other,
     and only one row of a group is kept. An empty table gives an empty result.
     Other columns of ``docs`` are neither read nor returned.
+
+    Digests of over ``hot_share`` of all rows are salted, at most 1 / ``hot_share`` of
+    them; any other has a single salt, whose winners are final and needn't move again.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), fold_ascii(F.col(text_col)).alias("_text"))
     rows = rows.withColumn("_digest", digest(F.col("_text")))
+    # Repeated rows become one with a count, so that a single one of them can stay.
+    ids = materialize(rows.groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("_copies")), "exact-ids")
 
-    merged = (
-        rows.withColumn("_salt", F.spark_partition_id() % salts)
-        .groupBy("_digest", "_salt", "_text")
-        .agg(F.max("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
-    )
-    winners = merged.groupBy("_digest", "_text").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
+    total = ids.agg(F.sum("_copies")).first()[0] or 0
+    hot = ids.groupBy("_digest").agg(F.sum("_copies").alias("_n")).where(F.col("_n") > max(1.0, hot_share * total)).select("_digest")
+    hot = F.broadcast(materialize(hot, "exact-hot"))  # at most 1 / hot_share digests
+    size, last = F.sum("_n").alias("group_size"), F.max("_id").alias("keep_id")
+
+    def merged(some, salt):
+        found = some.withColumn("_salt", salt).groupBy("_digest", "_salt", "_text")
+        return found.agg(F.max("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
+
+    single = merged(rows.join(hot, "_digest", "left_anti"), F.lit(0))
+    single = single.select("_digest", "_text", F.col("_id").alias("keep_id"), F.col("_n").alias("group_size"))
+    salted = merged(rows.join(hot, "_digest", "left_semi"), F.spark_partition_id() % salts)
+    winners = single.unionByName(salted.groupBy("_digest", "_text").agg(last, size))
     groups = materialize(winners.select("_digest", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size"), "exact-groups")
+
     # Rows find their group by digest alone unless some digest stands for several texts.
-    shared = groups.groupBy("_digest").count().where("count > 1")
-    ids = rows.select("doc_id", "_digest", *([] if is_empty(shared) else [F.sha2("_text", 256).alias("text_sha256")]))
-    keys = [c for c in ids.columns if c != "doc_id"]
-    # Repeated rows become one with a count, so that a single one of them can stay.
-    ids = ids.groupBy("doc_id", *keys).agg(F.count(F.lit(1)).alias("_copies"))
-    ids = materialize(ids, "exact-ids")
-    out = ids.join(groups, keys)
+    if not is_empty(groups.groupBy("_digest").count().where("count > 1")):
+        own = rows.select("doc_id", "_digest", F.sha2("_text", 256).alias("text_sha256"))
+        ids = materialize(own.groupBy("doc_id", "_digest", "text_sha256").agg(F.count(F.lit(1)).alias("_copies")), "exact-ids")
+    out = ids.join(groups, [c for c in ids.columns if c not in ("doc_id", "_copies")])
     copy = F.when(F.col("_copies") > 1, F.sequence(F.lit(1), F.col("_copies").cast("int"))).otherwise(F.array(F.lit(1)))
     out = out.withColumn("_copy", F.explode(copy))
     return out.select(
