@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .textops import HASH_A, U64, blocks, buffers, mix64
 
 PREFIX = 4
@@ -215,7 +216,8 @@ def fit_toxicity(
     known = known.orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(max_rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = texts.select(F.col(id_col).alias("_id"), text.alias("text")).join(F.broadcast(known), "_id")  # at most max_rows ids
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(4)))
+    # The sample is written once, so that the corpus is read for it only once.
+    rows = materialize(rows.withColumn("_part", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(4))), "toxic-sample")
     fit = rows.where("_part <> 0").groupBy("text").agg(F.max("_toxic").alias("toxic"))
     counts = fit.mapInArrow(_count, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # Only tokens with several toxic uses can be clear of their variance.
