@@ -71,9 +71,10 @@ def _count(batches):
             # A text counts a token once: passages repeated in one text are one observation.
             doc = np.repeat(np.arange(j - i), n)
             h = np.concatenate([word, head])
-            key = np.unique(np.stack([np.concatenate([doc, doc]).astype(U64), h]), axis=1) if len(h) else np.zeros((2, 0), U64)
-            y = toxic[i:j][key[0].astype(np.int64)].astype(np.int64)
-            parts.append((np.r_[key[1], U64(0)], np.r_[y, int(of.sum())], np.r_[1 - y, len(of) - int(of.sum())]))
+            at = np.concatenate([doc, doc])
+            _, once = np.unique(mix64(h ^ mix64(at.astype(U64) + U64(1))), return_index=True)
+            h, y = h[once], toxic[i:j][at[once]].astype(np.int64)
+            parts.append((np.r_[h, U64(0)], np.r_[y, int(of.sum())], np.r_[1 - y, len(of) - int(of.sum())]))
             held += len(y)
             if held > 1 << 21:
                 parts[:] = [merged()]
