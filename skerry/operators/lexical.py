@@ -1,10 +1,9 @@
 """Full-text index and BM25 over chunks.
 
 The index is a table of positions (chunk_id, pos, term, dl), dl being the chunk's
-length, and a row of corpus totals. A query is a conjunction of prefix phrases. Each
-position's term is cut to the prefix lengths that the queries ask for and joined to
-their tokens by equality, so a lookup is one pass over the positions, and the tokens
-of the stated queries are the small side.
+length, and a row of corpus totals. A query is a conjunction of prefix phrases. Terms
+and the stated queries' tokens meet by equality of their first letters, and the join
+itself compares the rest, so a lookup is one pass over the positions.
 """
 
 from __future__ import annotations
@@ -78,14 +77,13 @@ def phrase_counts(queries: DataFrame, positions: DataFrame, text_col: str = "tex
     needed = ph.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_phrases"))
     words = ph.select("query_id", "phrase", F.size("words").alias("m"), F.posexplode("words").alias("off", "token"))
     words = words.withColumn("is_prefix", F.col("off") == F.col("m") - 1)
-    # One row tells which cuts of a term can match anything; -1 stands for the whole term.
-    cut = F.when(F.col("is_prefix"), F.length("token")).otherwise(F.lit(-1))
-    lengths = words.agg(F.collect_set(cut).alias("lens"))
-    rows = positions.crossJoin(F.broadcast(lengths))
-    rows = rows.select("chunk_id", "pos", "dl", "term", F.explode(F.filter("lens", lambda n: n <= F.length("term"))).alias("n"))
-    piece = F.when(F.col("n") < 0, F.col("term")).otherwise(F.substring("term", F.lit(1), F.col("n")))
-    rows = rows.select("chunk_id", "pos", "dl", piece.alias("token"), (F.col("n") >= 0).alias("is_prefix"))
-    hits = rows.join(words, ["token", "is_prefix"]).select("query_id", "phrase", "m", "chunk_id", "dl", (F.col("pos") - F.col("off")).alias("at"))
+    # Terms and tokens meet on as many first letters as the shortest token has.
+    head = words.agg(F.coalesce(F.min(F.length("token")), F.lit(1)).alias("n"))
+    words = words.crossJoin(F.broadcast(head)).withColumn("head", F.substring("token", F.lit(1), F.col("n"))).drop("n")
+    rows = positions.crossJoin(F.broadcast(head)).withColumn("cut", F.substring("term", F.lit(1), F.col("n"))).drop("n")
+    fits = F.when(F.col("is_prefix"), F.startswith("term", "token")).otherwise(F.col("term") == F.col("token"))
+    hits = rows.join(words, (F.col("cut") == F.col("head")) & fits)
+    hits = hits.select("query_id", "phrase", "m", "chunk_id", "dl", (F.col("pos") - F.col("off")).alias("at"))
     whole = hits.where("m = 1").unionByName(
         hits.where("m > 1").groupBy("query_id", "phrase", "m", "chunk_id", "dl", "at").agg(F.count(F.lit(1)).alias("k")).where("k = m").drop("k")
     )

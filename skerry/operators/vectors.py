@@ -305,33 +305,31 @@ def load_cells(spark, path: str, version: int):
 # --- encoders -------------------------------------------------------------------
 
 
-def hashed_encoder(dim: int = 384, remembered: int = 100_000):
-    """A deterministic text encoder: signed hashed words and letter trigrams, unit length.
+def hashed_encoder(dim: int = 384, grams: tuple[int, ...] = (3, 5)):
+    """A deterministic text encoder: signed hashes of byte n-grams of the lower-cased words, unit length.
 
     It stands where a neural encoder can be plugged in: any function from a list of
     texts to a matrix.
     """
-    parts: dict[str, tuple] = {}
-
-    def word(w: str) -> tuple:
-        if w not in parts:
-            if len(parts) >= remembered:
-                parts.clear()
-            grams = (w, *(f"#{w}#"[i : i + 3] for i in range(len(w))))
-            h = [int.from_bytes(hashlib.blake2b(g.encode("utf-8", "replace"), digest_size=8).digest(), "little") for g in grams]
-            parts[w] = ([x % dim for x in h], [1.0 if x >> 63 else -1.0 for x in h])
-        return parts[w]
 
     def encode(texts: list) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in zip(out, texts):
-            at, sign = [], []
-            for w in (text or "").lower().split():
-                a, s = word(w)
-                at += a
-                sign += s
-            if at:
-                row += np.bincount(at, sign, dim)
+            words = (text or "").lower().split()
+            if not words:
+                continue
+            b = np.frombuffer(f" {' '.join(words)} ".encode("utf-8", "replace"), np.uint8).astype(np.uint64)
+            for n in grams:
+                if len(b) < n:
+                    continue
+                key = np.zeros(len(b) - n + 1, np.uint64)
+                for i in range(n):
+                    key = (key << np.uint64(8)) | b[i : len(b) - n + 1 + i]
+                h = (key + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(0xD6E8FEB86659FD93)
+                sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(float)
+                row += np.bincount(((h >> np.uint64(20)) % np.uint64(dim)).astype(np.int64), sign, dim)
         return _unit(out)
 
     return encode
