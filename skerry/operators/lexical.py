@@ -103,7 +103,9 @@ def _scored(counts: DataFrame, needed: DataFrame, totals: DataFrame, key: str) -
     idf is ln((N - df + 0.5) / (df + 0.5)), df the keys a phrase occurs in, and 1e-6
     where that isn't positive. Counting df and weighing the parts use one shuffle each.
     """
-    df = counts.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals))
+    # Reading f and dl here too leaves both uses of the counts one plan, which is then shuffled once.
+    hits = F.count_if((F.col("f") > 0) & (F.col("dl") > 0))
+    df = counts.groupBy("query_id", "phrase").agg(hits.alias("df")).crossJoin(F.broadcast(totals))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.select("query_id", "phrase", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"), (F.col("total_len") / F.col("n")).alias("avgdl"))
     f = F.col("f").cast("double")
