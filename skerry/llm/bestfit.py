@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Sent, materialize
 from .packing import Placement, pack
 from .tokens import pieces, token_ids
 
@@ -80,7 +80,7 @@ def best_fit_packing(
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measure(tokenizer, capacity, separator), schema)
     found = materialize(found, "pieces")
     hist = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    placement = spark.sparkContext.broadcast(Placement(pack(hist, capacity)))
+    placement = Sent(spark, Placement(pack(hist, capacity)))
 
     # A common length has as many buckets as it needs to be ranked by many tasks.
     n_buckets = F.lit([max(1, hist.get(n, 0) // bucket_rows) for n in range(1, capacity + 1)])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+class Sent:
+    """An object broadcast to the executors by value, its class included; read ``value`` there."""
+
+    def __init__(self, spark: SparkSession, obj):
+        self._raw = spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+        self._obj = None
+
+    def __getstate__(self):
+        return {"_raw": self._raw, "_obj": None}
+
+    @property
+    def value(self):
+        if self._obj is None:
+            self._obj = pickle.loads(self._raw.value)
+        return self._obj
+
+
 def fold_ascii(text):
     """Lower-case A-Z only; null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

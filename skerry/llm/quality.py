@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import Sent, materialize
 from .textops import HASH_A, blocks, buffers, mix64, per_doc, windows, words
 
 ORDER, BITS = 4, 5
@@ -266,7 +266,7 @@ def fit_models(docs: DataFrame, text_col: str = "text"):
     for i in range(FOLDS):
         o = np.argsort(k[f == i])
         models.append(KneserNey(k[f == i][o], n[f == i][o]))
-    return docs.sparkSession.sparkContext.broadcast(models)
+    return Sent(docs.sparkSession, models)
 
 
 def _fold(text):

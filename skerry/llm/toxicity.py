@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Sent, materialize
 from .textops import HASH_A, U64, blocks, buffers, mix64
 
 PREFIX = 4
@@ -251,7 +251,7 @@ def fit_toxicity(
     drift = max(drift, 2 * float((chances * score).sum()) / (1 - float(chances.sum())))
     model = ToxicityModel(h, score, drift, _extreme_value_rate(score.astype(float), chances, drift), 1.0, 0.0)
     seen = rows.where("_part = 0").select("text", F.col("_toxic").alias("toxic"))
-    got = seen.mapInArrow(_evidence(spark.sparkContext.broadcast(model)), "x double, toxic int").toArrow()  # at most max_rows
+    got = seen.mapInArrow(_evidence(Sent(spark, model)), "x double, toxic int").toArrow()  # at most max_rows
     model.a, model.b = _platt(got.column("x").to_numpy(), got.column("toxic").to_numpy()) if got.num_rows else (1.0, -1.0)
     return model
 
@@ -286,4 +286,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, score double, predicted int, evidence double, segments array<struct<first:int,end:int,score:double,chance:double>>"
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), schema)
+    return rows.mapInArrow(_scorer(Sent(spark, model)), schema)
