@@ -1,25 +1,30 @@
 """Quality rules with n-gram perplexity bands.
 
-A modified Kneser-Ney model over folded characters is counted by Spark on all
-documents and kept as sorted arrays of n-gram hashes with log probabilities and
-back-off weights. Each text is scored by the model of the other half of the
-texts (halves by text hash), so a text never vouches for itself. Bands around
-each language's median perplexity decide; they are fitted on all documents.
-
-The alphabet has 32 symbols and the order is 4, so a model has at most 2**20
-top-order entries however large the corpus: that bounds what is collected and
-broadcast.
+A modified Kneser-Ney model over 5-grams of real code points is counted and
+smoothed by Spark on all documents. Its tables are as large as the corpus makes
+them: they stay distributed and are written to the shared folder, and nothing of
+them is collected or broadcast. Each text is scored by the model of the other half
+of the texts (halves by text hash), so a text never vouches for itself. Texts lie
+in blocks; a block asks for its distinct n-grams by a join and meets the answers
+in one group. Bands around each language's median perplexity decide; they are
+fitted on all documents.
+
+``KneserNey`` over ``ngram_keys`` is the same smoothing in memory, for 4-grams of
+32 folded byte classes; the operators don't use it.
 """
 
 from __future__ import annotations
 
+import functools
+import os
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sent, materialize
+from .common import materialize
 from .textops import HASH_A, blocks, buffers, mix64, per_doc, windows, words
 
 ORDER, BITS = 4, 5
@@ -61,27 +66,134 @@ def ngram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return k[keep], offsets + np.arange(n_docs + 1)
 
 
-def _count(batches):
-    acc = [np.zeros(1 << (ORDER * BITS), np.int64) for _ in range(FOLDS)]
+GRAM, CP_BITS = 5, 21
+TEXT_EDGE = 0x110000
+BLOCK_BYTES = 32 << 20
+
+
+@functools.cache
+def _folded() -> np.ndarray:
+    """Code points in lower case where that is one code point; digits as 0, ASCII white space as a blank."""
+    lut = np.arange(TEXT_EDGE + 1, dtype=np.int32)
+    for c in range(TEXT_EDGE):
+        low = chr(c).lower()
+        if len(low) == 1:
+            lut[c] = ord(low)
+    lut[48:58] = 48
+    lut[[9, 10, 11, 12, 13]] = 32
+    return lut
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts and the new offsets."""
+    lead = (data & 0xC0) != 0x80
+    if lead.all():
+        return data.astype(np.int32), offsets
+    at = np.flatnonzero(lead)
+    more = np.zeros((3, len(at)), np.int32)
+    tail = np.r_[data, np.zeros(3, np.uint8)]
+    for j in range(3):
+        more[j] = tail[at + j + 1] & 0x3F
+    b = data[at].astype(np.int32)
+    two, three = ((b & 0x1F) << 6) | more[0], ((b & 0x0F) << 12) | (more[0] << 6) | more[1]
+    four = ((b & 0x07) << 18) | (more[0] << 12) | (more[1] << 6) | more[2]
+    cp = np.select([b < 0x80, b < 0xE0, b < 0xF0], [b, two, three], np.minimum(four, TEXT_EDGE - 1))
+    return cp, np.searchsorted(at, offsets)
+
+
+def gram_keys(data: np.ndarray, offsets: np.ndarray):
+    """(keys, offsets, unpack): all 5-grams of code points, a text framed by four edges and one.
+
+    A text of n code points gives n + 1 keys. Keys name the same 5-gram within the
+    call only; ``unpack`` turns them into (a, b), the first two and the last three
+    code points at 21 bits each, which name it everywhere.
+    """
+    cp, off = code_points(data, offsets)
+    n_docs, size = len(off) - 1, np.diff(off)
+    base = off[:-1] + GRAM * np.arange(n_docs)
+    seq = np.full(len(cp) + GRAM * n_docs, TEXT_EDGE, np.int32)
+    seq[np.arange(len(cp)) + np.repeat(base - off[:-1] + GRAM - 1, size)] = _folded()[cp]
+    seen = np.zeros(TEXT_EDGE + 1, bool)
+    seen[seq] = True
+    alphabet = np.flatnonzero(seen)
+    n = max(len(alphabet), 1)
+    x = (np.cumsum(seen) - 1)[seq]
+    ends = np.arange(int(off[-1]) + n_docs) + np.repeat((GRAM - 1) * (np.arange(n_docs) + 1), size + 1)
+    last = (x[ends - 2] * n + x[ends - 1]) * n + x[ends]
+    first = x[ends - 4] * n + x[ends - 3]
+    # Few symbols pack into one number as they are; many by the rank of the last three.
+    ranked = np.unique(last) if n**GRAM >= 1 << 63 else None
+    m = n**3 if ranked is None else len(ranked)
+    keys = first * m + (last if ranked is None else np.searchsorted(ranked, last))
+
+    def unpack(k):
+        f, t = k // m, k % m
+        t = t if ranked is None else ranked[t]
+        a = (alphabet[f // n] << CP_BITS) | alphabet[f % n]
+        return a, (alphabet[t // (n * n)] << 2 * CP_BITS) | (alphabet[t // n % n] << CP_BITS) | alphabet[t % n]
+
+    return keys, off + np.arange(n_docs + 1), unpack
+
+
+def _blocked(batches):
+    """Batches with a last column _block; a block is about BLOCK_BYTES of one task's texts."""
+    block, held = 0, BLOCK_BYTES
     for b in batches:
-        data, off = buffers(b.column(0))
-        fold = b.column(1).to_numpy()
-        for i, j in blocks(off):
-            k, o = ngram_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            of = np.repeat(fold[i:j], np.diff(o))
-            for f in range(FOLDS):
-                keys = np.sort(k[of == f])
-                if len(keys):
-                    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                    acc[f][keys[first]] += np.diff(np.r_[first, len(keys)])
-    for f in range(FOLDS):
-        keys = np.flatnonzero(acc[f])
-        yield pa.record_batch([np.full(len(keys), f, np.int32), keys.astype(np.int32), acc[f][keys]], names=["fold", "key", "n"])
+        size = sum(b.column(i).nbytes for i in range(b.num_columns))
+        if held + size > BLOCK_BYTES:
+            block, held = int.from_bytes(os.urandom(8), "big") >> 1, 0
+        held += size
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, block, np.int64))], names=[*b.schema.names, "_block"])
+
+
+_GRAMS = ["_block", "a", "b", "c0", "c1"]
+
+
+def _count(batches):
+    """(_block, a, b, c0, c1) of (text, fold, block): the halves' counts of each 5-gram."""
+
+    def rows(block, parts):
+        a, b, c0, c1 = (np.concatenate(x) for x in zip(*parts))
+        if len(parts) > 1:
+            o = np.lexsort((b, a))
+            a, b, c0, c1 = a[o], b[o], c0[o], c1[o]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            a, b, c0, c1 = a[first], b[first], np.add.reduceat(c0, first), np.add.reduceat(c1, first)
+        for i in range(0, len(a), 1 << 17):
+            cols = [np.full(len(a), block, np.int64), a, b, c0, c1]
+            yield pa.record_batch([c[i : i + (1 << 17)] for c in cols], names=_GRAMS)
+
+    held, parts = None, []
+    for batch in batches:
+        of = batch.column(2).to_numpy()
+        data, off = buffers(batch.column(0))
+        fold = batch.column(1).to_numpy()
+        runs = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else np.zeros(1, int)
+        for s, e in zip(runs[:-1], runs[1:]):
+            if of[s] != held and parts:
+                yield from rows(held, parts)
+                parts = []
+            held = of[s]
+            for i, j in blocks(off[s : e + 1]):
+                lo, hi = s + i, s + j
+                k, o, unpack = gram_keys(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                half = np.repeat(fold[lo:hi], np.diff(o)) == 1
+                both = np.sort(k)
+                first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+                distinct, n = both[first], np.diff(np.r_[first, len(both)])
+                one = np.sort(k[half])
+                n1 = np.searchsorted(one, distinct, "right") - np.searchsorted(one, distinct)
+                parts.append((*unpack(distinct), n - n1, n1))
+    if parts:
+        yield from rows(held, parts)
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """D1, D2, D3+ of modified Kneser-Ney; 0.5, 1 and 1.5 where counts are too few for them."""
-    n1, n2, n3, n4 = (int((counts == i).sum()) for i in (1, 2, 3, 4))
+    return _cuts(*(int((counts == i).sum()) for i in (1, 2, 3, 4)))
+
+
+def _cuts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     if not (n1 and n2 and n3 and n4):
         return np.array([0.0, 0.5, 1.0, 1.5])
     y = n1 / (n1 + 2 * n2)
@@ -217,72 +329,100 @@ def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scorer(models, keep: int):
-    """Batches of (kept columns..., text, fold) to (kept columns..., features, n_bytes, nll)."""
-
-    def score(batches):
-        tables = [np.full(1 << (ORDER * BITS), np.nan, np.float32) for _ in range(FOLDS)]
-        for b in batches:
-            data, off = buffers(b.column(keep))
-            fold = b.column(keep + 1).to_numpy()
-            cols = {c: [] for c in (*FEATURES, "nll", "n_bytes")}
-            for i, j in blocks(off):
-                d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                for c, v in base_features(d, o).items():
-                    cols[c].append(v)
-                k, ko = ngram_keys(d, o)
-                lens = np.diff(ko)
-                other = np.repeat(1 - fold[i:j], lens)
-                lp = np.empty(len(k), np.float32)
-                for f in range(FOLDS):
-                    of = other == f
-                    kf = k[of]
-                    got = tables[f][kf]
-                    if (new := np.isnan(got)).any():
-                        fresh = np.unique(kf[new])
-                        tables[f][fresh] = models.value[f].log_probs(fresh)
-                        got = tables[f][kf]
-                    lp[of] = got
-                cols["nll"].append(-np.add.reduceat(lp, ko[:-1], dtype=np.float64) / lens)
-                cols["n_bytes"].append(np.diff(o))
-            arrays = {c: np.concatenate(v) if v else np.zeros(0) for c, v in cols.items()}
-            found = [*(arrays[c].astype(np.int64) for c in (*FEATURES, "n_bytes")), arrays["nll"].astype(np.float64)]
-            names = [*b.schema.names[:keep], *_SCORES]
-            yield pa.RecordBatch.from_arrays([*b.columns[:keep], *map(pa.array, found)], names=names)
+_SCORES = (*(f"_{c}" for c in FEATURES), "_n_bytes", "_nll")
+
+
+def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(mix64(a.astype(np.uint64)) + b.astype(np.uint64))
+
+
+def _scorer(keep: int):
+    """A block's (kept columns..., text, fold, block) and its (block, a, b, l0, l1) to (kept columns..., features, n_bytes, nll)."""
+
+    def score(texts: pa.Table, grams: pa.Table) -> pa.Table:
+        a, b, l0, l1 = (grams.column(c).to_numpy() for c in ("a", "b", "l0", "l1"))
+        place = _place(a, b)
+        o = np.argsort(place)
+        place, logp = place[o], np.array([l0[o], l1[o]])
+        data, off = buffers(texts.column(keep))
+        fold = texts.column(keep + 1).to_numpy()
+        cols = {c: [np.zeros(0)] for c in (*FEATURES, "n_bytes", "nll")}
+        for i, j in blocks(off):
+            d, p = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            for c, v in base_features(d, p).items():
+                cols[c].append(v)
+            k, ko, unpack = gram_keys(d, p)
+            lens = np.diff(ko)
+            distinct = np.unique(k)
+            known = logp[:, np.searchsorted(place, _place(*unpack(distinct)))]
+            lp = known[np.repeat(1 - fold[i:j], lens), np.searchsorted(distinct, k)]
+            cols["nll"].append(-np.add.reduceat(lp, ko[:-1]) / lens)
+            cols["n_bytes"].append(np.diff(p))
+        arrays = {c: np.concatenate(v) for c, v in cols.items()}
+        found = [*(arrays[c].astype(np.int64) for c in (*FEATURES, "n_bytes")), arrays["nll"]]
+        names = [*texts.column_names[:keep], *_SCORES]
+        return pa.table([*texts.columns[:keep], *map(pa.array, found)], names=names)
 
     return score
 
 
-_SCORES = (*(f"_{c}" for c in FEATURES), "_n_bytes", "_nll")
+def _suffix(m: int) -> list:
+    """The last m - 1 code points of an m-gram (a, b)."""
+    low = [(1 << CP_BITS * max(m - 4, 0)) - 1, (1 << CP_BITS * min(m - 1, 3)) - 1]
+    return [F.col(c).bitwiseAND(F.lit(x).cast("long")).alias(c) for c, x in zip("ab", low)]
 
 
-def fit_models(docs: DataFrame, text_col: str = "text"):
-    """The two halves' models, broadcast; a text belongs to the half its hash names."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = docs.select(text.alias("text"), _fold(text).alias("fold")).mapInArrow(_count, "fold int, key int, n long")
-    rows = counted.groupBy("fold", "key").agg(F.sum("n").alias("n")).toArrow()  # at most FOLDS * 2**20 rows
-    f, k, n = (rows.column(c).to_numpy() for c in ("fold", "key", "n"))
-    models = []
-    for i in range(FOLDS):
-        o = np.argsort(k[f == i])
-        models.append(KneserNey(k[f == i][o], n[f == i][o]))
-    return Sent(docs.sparkSession, models)
+def fit_model(grams: DataFrame) -> DataFrame:
+    """(a, b, l0, l1): the log probability of every 5-gram's last code point under each half's model.
+
+    ``grams`` has the halves' counts c0 and c1. A lower order counts the distinct
+    n-grams that it ends; unseen continuations get what the discounts leave, by the
+    lower order. At the bottom all code points seen, and one for the rest, are equal.
+    """
+    levels = {GRAM: materialize(grams.groupBy("a", "b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "quality-5-grams")}
+    for m in range(GRAM, 1, -1):
+        ends = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("c0", "c1")]
+        levels[m - 1] = materialize(levels[m].groupBy(*_suffix(m)).agg(*ends), f"quality-{m - 1}-grams")
+    lower = None
+    for m in range(1, GRAM + 1):
+        rows = levels[m]
+        few = [F.sum((F.col(c) == i).cast("long")) for c in ("c0", "c1") for i in (1, 2, 3, 4)]
+        *n, total = (x or 0 for x in rows.agg(*few, F.count(F.lit(1))).first())  # one row
+        if lower is None:
+            rows = rows.withColumns({"q0": F.lit(1.0 / (total + 1)), "q1": F.lit(1.0 / (total + 1))})
+        else:
+            a, b = _suffix(m)
+            rows = rows.withColumns({"sa": a, "sb": b}).join(lower.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), ["sa", "sb"])
+        context = Window.partitionBy("a", F.shiftright("b", CP_BITS))
+        for f in range(FOLDS):
+            c, q, d = F.col(f"c{f}"), F.col(f"q{f}"), [float(x) for x in _cuts(*n[4 * f : 4 * f + 4])]
+            cut = F.when(c == 0, 0.0).when(c == 1, d[1]).when(c == 2, d[2]).otherwise(d[3])
+            seen, left = F.sum(c).over(context), F.sum(cut).over(context)
+            rows = rows.withColumn(f"p{f}", F.when(seen > 0, (c - cut + left * q) / seen).otherwise(q))
+        lower = rows.select("a", "b", "p0", "p1")
+    return lower.select("a", "b", F.log("p0").cast("float").alias("l0"), F.log("p1").cast("float").alias("l1"))
 
 
 def _fold(text):
     return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
-def score_rows(docs: DataFrame, models, keep: list, text_col: str = "text") -> DataFrame:
+def score_rows(docs: DataFrame, keep: list, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` and each text's features, n_bytes and nll, names led by an underscore.
 
-    nll is the mean negative log probability of a text's symbols (log perplexity)
+    nll is the mean negative log probability of a text's code points (log perplexity)
     under the model of the other half. A null text counts as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*keep, text.alias("_text"), _fold(text).alias("_fold"))
+    kept = rows.schema.fields[: len(keep)]
+    rows = materialize(rows.mapInArrow(_blocked, T.StructType([*rows.schema.fields, T.StructField("_block", T.LongType())])), "quality-texts")
+    grams = rows.select("_text", "_fold", "_block").mapInArrow(_count, ", ".join(f"{c} long" for c in _GRAMS))
+    grams = materialize(grams, "quality-grams")
+    found = grams.select("_block", "a", "b").join(fit_model(grams), ["a", "b"]).select("_block", "a", "b", "l0", "l1")
     more = [T.StructField(c, T.DoubleType() if c == "_nll" else T.LongType()) for c in _SCORES]
-    return rows.mapInArrow(_scorer(models, len(keep)), T.StructType([*rows.schema.fields[: len(keep)], *more]))
+    groups = rows.groupBy("_block").cogroup(found.groupBy("_block"))
+    return groups.applyInArrow(_scorer(len(keep)), T.StructType([*kept, *more]))
 
 
 def _base_failed(min_words: int, max_repeat_percent: int):
@@ -334,7 +474,7 @@ def quality_rules(
     columns are unread; repeated rows are judged alike.
     """
     keep = [F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang")]
-    scores = score_rows(docs, fit_models(docs, text_col), keep, text_col).withColumn("_failed", _base_failed(min_words, max_repeat_percent))
+    scores = score_rows(docs, keep, text_col).withColumn("_failed", _base_failed(min_words, max_repeat_percent))
     scores = materialize(scores, "quality-scores")
     rows = scores.join(fit_bands(scores, "lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     lower, upper, inside = _inside(width, floor, short_bytes)
@@ -346,17 +486,14 @@ def quality_rules(
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows that ``quality_rules`` rejects; all columns stay.
 
-    Texts are scored once for the bands and once more as the rows are filtered where
-    they lie: no text is shuffled, and ids need not tell rows apart.
+    The scored rows are written once, for the bands and for the result; ids need not
+    tell rows apart.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    text, lang = names[text_col], names[lang_col]
-    models = fit_models(rows, text)
-    failed = _base_failed(MIN_WORDS, MAX_REPEAT)
-    scores = score_rows(rows, models, [F.col(lang).alias("lang")], text).withColumn("_failed", failed)
-    bands = fit_bands(materialize(scores, "quality-scores"), "lang")
-    marked = score_rows(rows, models, [*names.values()], text)
+    lang = names[lang_col]
+    scores = score_rows(rows, [*names.values()], names[text_col]).withColumn("_failed", _base_failed(MIN_WORDS, MAX_REPEAT))
+    scores = materialize(scores, "quality-scores")
     _, _, inside = _inside(WIDTH, FLOOR, SHORT)
-    kept = marked.join(bands, F.col(lang).eqNullSafe(F.col("_lang")), "left").where(~failed & inside)
+    kept = scores.join(fit_bands(scores, lang), F.col(lang).eqNullSafe(F.col("_lang")), "left").where(~F.col("_failed") & inside)
     return kept.select([F.col(n).alias(c) for c, n in names.items()])

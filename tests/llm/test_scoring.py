@@ -280,3 +280,51 @@ def test_damaged_payload_is_found(spark, tmp_path):
     (tmp_path / "a.warc.zst").write_bytes(zstandard.ZstdCompressor().compress(rec))
     with pytest.raises(Exception, match="doesn't match its digest"):
         warc.read_warc(spark, f"file://{tmp_path}").collect()
+
+
+def test_quality_scores_other_scripts_by_their_letters(spark):
+    rng = random.Random(9)
+    syllables = ["ва", "про", "ние", "сто", "ка", "ель", "ра", "ми"]
+    prose = [(i, " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(120))) for i in range(150)]
+    noise = [(1000 + i, " ".join("".join(chr(rng.randint(0x430, 0x44F)) for _ in range(6)) for _ in range(120))) for i in range(3)]
+    got = {r.doc_id: r for r in quality.quality_rules(table(spark, prose + noise)).collect()}
+    assert all(got[i].kept for i, _ in prose) and not any(got[i].kept for i, _ in noise)
+
+
+def test_code_point_model_against_a_plain_model(spark):
+    texts = ["the cat sat on the mat, the cat ate the rat.", "été 漢字 🎉 a bat", "ÉTÉ the mat", ""]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    edge = chr(1)
+    plain = [(edge * 4 + t.lower() + edge)[i : i + 5] for t in texts for i in range(len(t) + 1)]
+    keys, o, unpack = quality.gram_keys(data, off)
+    name = {edge: quality.TEXT_EDGE}
+    code = [[name.get(c, ord(c)) for c in g] for g in plain]
+    packed = [((x[0] << 21) | x[1], (x[2] << 42) | (x[3] << 21) | x[4]) for x in code]
+    assert list(zip(*(map(int, x) for x in unpack(keys)))) == packed and list(np.diff(o)) == [len(t) + 1 for t in texts]
+    half = [Counter(), Counter()]
+    for i, g in enumerate(plain):
+        half[i % 2][g] += 1
+    by = dict(zip(plain, packed))
+    rows = [(*by[g], half[0][g], half[1][g]) for g in by]
+    got = {(r.a, r.b): (r.l0, r.l1) for r in quality.fit_model(spark.createDataFrame(rows, "a long, b long, c0 long, c1 long")).collect()}
+    size = len({g[-1] for g in plain}) + 1
+    for f in (0, 1):
+        level = {5: half[f]}
+        for m in (4, 3, 2, 1):
+            level[m] = Counter(g[1:] for g in level[m + 1])
+        cut = {m: quality._discounts(np.array(list(level[m].values()))) for m in level}
+
+        def prob(g):
+            m = len(g)
+            if m == 0:
+                return 1 / size
+            mine = {x: n for x, n in level[m].items() if x[:-1] == g[:-1]}
+            if not mine:
+                return prob(g[1:])
+            total = sum(mine.values())
+            gamma = sum(cut[m][min(n, 3)] for n in mine.values()) / total
+            n = mine.get(g, 0)
+            return (n - cut[m][min(n, 3)]) / total + gamma * prob(g[1:])
+
+        assert all(got[by[g]][f] == pytest.approx(math.log(prob(g)), abs=1e-4) for g in by)
