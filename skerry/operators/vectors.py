@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import asdict, dataclass, replace
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +115,7 @@ class LshConfig:
     tables: int = 5
     bits: int = 10
     projection_dim: int = 48
-    candidates: int = 80
+    candidates: int | None = 80  # None: every member of the buckets
     memory_mode: str = "IN_MEMORY"
 
     @staticmethod
@@ -126,11 +128,27 @@ class LshConfig:
                 return LshConfig(*values, mode)
         return LshConfig(20, 16, 96, 150, "STREAMING")
 
+    @staticmethod
+    def for_recall(n: int, dim: int, top_k: int = 10, recall: float = 0.95, most_tables: int = 64) -> LshConfig:
+        """Tables and bits by which ``recall`` of the top_k of n vectors share a bucket with their query.
+
+        The k-th neighbour's cosine is taken as it is for vectors without clusters,
+        whose neighbours are the farthest. Bits are as many as ``most_tables`` allow.
+        """
+        z = NormalDist().inv_cdf(max(1 - top_k / max(n, 1), 0.5))
+        same = 1 - math.acos(min(z / math.sqrt(dim), 0.99)) / math.pi
+
+        def tables(bits):
+            return math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+
+        bits = max(b for b in range(1, 31) if b == 1 or tables(b) <= most_tables)
+        return LshConfig(tables(bits), bits, max(bits, 48), None)
+
     def scaled(self, budget: int) -> LshConfig:
         if budget < 20:
-            return replace(self, tables=max(3, self.tables // 3), candidates=self.candidates // 2, memory_mode="STREAMING")
+            return replace(self, tables=max(3, self.tables // 3), candidates=self.candidates and self.candidates // 2, memory_mode="STREAMING")
         if budget < 50:
-            return replace(self, tables=max(5, self.tables // 2), candidates=int(np.float32(self.candidates) * np.float32(0.7)))
+            return replace(self, tables=max(5, self.tables // 2), candidates=self.candidates and int(np.float32(self.candidates) * np.float32(0.7)))
         return self
 
 
@@ -187,13 +205,15 @@ def lsh_stats(buckets: DataFrame) -> DataFrame:
 
 
 def lsh_candidates(queries: DataFrame, buckets: DataFrame, config: LshConfig, dim: int) -> DataFrame:
-    """(query_id, id): members of the queries' buckets, table by table and in id order, up to ``candidates``.
+    """(query_id, id): members of the queries' buckets, table by table and in id order, up to ``candidates`` if not None.
 
     The limit is the index's own parameter; the exact search is the way past it.
     """
     q = lsh_hashes(queries, config, dim, "query_id").select(F.col("id").alias("query_id"), "table", "hash")
     hits = buckets.join(F.broadcast(q), ["table", "hash"])
     first = hits.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.min("table").alias("table"))
+    if config.candidates is None:
+        return first.select("query_id", "id")
     w = Window.partitionBy("query_id").orderBy("table", "id")
     return first.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= config.candidates).select("query_id", "id")
 

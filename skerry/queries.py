@@ -13,7 +13,7 @@ from .functions.vectors import l2_normalize
 from .operators import answers, chunking, evaluation, lexical, ranking, results, vectors
 from .options import DAY_MS, DEFAULTS
 from .plans.engine import SearchEngine, overlap_scorer
-from .queries_sql import DENSE_QUERIES, EXTENSIONS, LSH_COARSE, MATCH_QUERIES, RANK_LIMIT, TEXT_QUERIES, oracle_sql
+from .queries_sql import DENSE_QUERIES, EXTENSIONS, MATCH_QUERIES, RANK_LIMIT, TEXT_QUERIES, oracle_sql
 from .sources import catalog, files, vocab
 
 __all__ = ["flagship", "oracle_sql", "queries"]
@@ -169,6 +169,10 @@ def _lsh(spark, sf, config):
     return v, vectors.lsh_buckets(v, config, 64)
 
 
+def _recalling(spark, sf):
+    return vectors.LshConfig.for_recall(_vectors(spark, sf).count(), 64)
+
+
 def lsh_hash(spark, sf):
     n = _vectors(spark, sf)
     return vectors.lsh_hashes(n, vectors.LshConfig.for_size(500), 64)
@@ -180,7 +184,7 @@ def lsh_bucket_stats(spark, sf):
 
 
 def lsh_search(spark, sf):
-    config = vectors.LshConfig(*LSH_COARSE)
+    config = _recalling(spark, sf)
     v, b = _lsh(spark, sf, config)
     found = vectors.lsh_search(_every_hundredth(spark, sf), b, v, config, 64, 10)
     return found.select("query_id", "id", _r("score").alias("score"), "rank")
