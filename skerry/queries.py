@@ -191,9 +191,9 @@ def lsh_search(spark, sf):
 
 
 def dense_with_fallback(spark, sf):
-    config = vectors.LshConfig.for_size(500)
+    config = _recalling(spark, sf)
     v, b = _lsh(spark, sf, config)
-    found = vectors.dense_search(_every_hundredth(spark, sf), b.where("chunk_id % 7 <> 0"), v, config, 64, 10, 0.3)
+    found = vectors.dense_search(_every_hundredth(spark, sf), b, v, config, 64, 10, 0.3)
     return found.select("query_id", "id", _r("score").alias("score"), "rank", "source")
 
 

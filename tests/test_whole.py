@@ -14,3 +14,11 @@ def test_hash_search_recall(spark, small, sf):
     path = small.replace("sf0.001", sf)
     exact = pairs(core.cosine_topk(spark, path).where("rank <= 10"))
     assert len(exact & pairs(core.lsh_search(spark, path))) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_dense_search_finds_all_rows(spark, small, sf):
+    path = small.replace("sf0.001", sf)
+    exact = pairs(core.cosine_threshold(spark, path).where("rank <= 10"))
+    found = pairs(core.dense_with_fallback(spark, path))
+    assert len(exact & found) >= 0.9 * len(exact) and (0, 0) in found
