@@ -281,7 +281,7 @@ def post_filters(spark, sf):
 
 def query_filters(spark, sf):
     know = Q.understand(_values(spark, TEXT_QUERIES), AS_OF)
-    d = _docs(spark, sf).crossJoin(F.broadcast(know.select("query_id"))).where("id < 50")
+    d = _docs(spark, sf).crossJoin(F.broadcast(know.select("query_id")))
     return results.apply_query_filters(d, know).select("query_id", "id")
 
 

@@ -22,3 +22,10 @@ def test_dense_search_finds_all_rows(spark, small, sf):
     exact = pairs(core.cosine_threshold(spark, path).where("rank <= 10"))
     found = pairs(core.dense_with_fallback(spark, path))
     assert len(exact & found) >= 0.9 * len(exact) and (0, 0) in found
+
+
+def test_query_filters_cover_all_documents(spark, small):
+    ids = {r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = pairs(core.query_filters(spark, small))
+    # Query 3 names neither type nor date, query 2 names pdf and yesterday.
+    assert {i for q, i in got if q == 3} == ids and {i for q, i in got if q == 2} < ids
