@@ -13,7 +13,7 @@ from .functions.vectors import l2_normalize
 from .operators import answers, chunking, evaluation, lexical, ranking, results, vectors
 from .options import DAY_MS, DEFAULTS
 from .plans.engine import SearchEngine, overlap_scorer
-from .queries_sql import DENSE_QUERIES, EXTENSIONS, MATCH_QUERIES, RANK_LIMIT, TEXT_QUERIES, oracle_sql
+from .queries_sql import EXTENSIONS, MATCH_QUERIES, RANK_LIMIT, TEXT_QUERIES, oracle_sql
 from .sources import catalog, files, vocab
 
 __all__ = ["flagship", "oracle_sql", "queries"]
@@ -61,9 +61,12 @@ def _every_hundredth(spark, sf) -> DataFrame:
 
 
 def _numbered(spark, sf) -> DataFrame:
-    """Vectors that stand for the first match queries."""
-    v = _vectors(spark, sf).where(F.col("chunk_id").isin([100 * q for q in DENSE_QUERIES]))
-    return v.select((F.col("chunk_id") / 100).cast("long").alias("query_id"), "embedding")
+    """Every hundredth vector, numbered from 0; a vector stands for the match query of its number."""
+    return _every_hundredth(spark, sf).withColumn("query_id", (F.col("query_id") / 100).cast("long"))
+
+
+def _matched(spark, sf) -> DataFrame:
+    return _numbered(spark, sf).where(F.col("query_id").isin([i for i, _ in MATCH_QUERIES]))
 
 
 def _texts(spark, sf) -> DataFrame:
@@ -231,9 +234,9 @@ def zscore_norm(spark, sf):
 
 
 def _fused(spark, sf):
-    q = _match(spark).where(F.col("query_id").isin(DENSE_QUERIES))
-    s = _sparse(spark, sf).join(F.broadcast(q.select("query_id")), "query_id", "left_semi")
-    return ranking.fuse(ranking.join_candidates(s, _dense(spark, sf, _numbered(spark, sf))), q, AS_OF)
+    """All match queries; those without a vector from the sparse side alone."""
+    both = ranking.join_candidates(_sparse(spark, sf), _dense(spark, sf, _matched(spark, sf)))
+    return ranking.fuse(both, _match(spark), AS_OF)
 
 
 def fusion_rank(spark, sf):
@@ -241,8 +244,7 @@ def fusion_rank(spark, sf):
 
 
 def rrf_fusion(spark, sf):
-    s = _sparse(spark, sf).where(F.col("query_id").isin(DENSE_QUERIES))
-    fused = ranking.reciprocal_ranks([s, _dense(spark, sf, _numbered(spark, sf))])
+    fused = ranking.reciprocal_ranks([_sparse(spark, sf), _dense(spark, sf, _matched(spark, sf))])
     return fused.select("query_id", "id", _r("score", 9).alias("score"), "rank")
 
 

@@ -29,3 +29,14 @@ def test_query_filters_cover_all_documents(spark, small):
     got = pairs(core.query_filters(spark, small))
     # Query 3 names neither type nor date, query 2 names pdf and yesterday.
     assert {i for q, i in got if q == 3} == ids and {i for q, i in got if q == 2} < ids
+
+
+def test_dense_and_fused_results_of_all_queries(spark, small):
+    vectors = spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id % 100 = 0").count()
+    dense = {r.query_id for r in core.dense_hydrate(spark, small).collect()}
+    assert dense == set(range(vectors))
+    sparse = {r.query_id for r in core.bm25_search(spark, small).collect()}
+    want = sparse | {q for q in dense if 1 <= q <= len(core.MATCH_QUERIES)}
+    assert sparse - dense
+    for query in (core.fusion_rank, core.rrf_fusion):
+        assert {r.query_id for r in query(spark, small).collect()} == want
