@@ -342,8 +342,8 @@ def query_intent(spark, sf):
 
 def wordpiece_encode(spark, sf):
     words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "the", "##ing", "##tion", "th"]
-    out = vocab.encode_wordpiece(_t(spark, sf, "benchmark"), {w: i for i, w in enumerate(words)}, max_len=32)
-    return out.select("item_id", "encoded.input_ids", "encoded.attention_mask")
+    out = vocab.encode_wordpiece_windows(_t(spark, sf, "benchmark"), {w: i for i, w in enumerate(words)})
+    return out.select("item_id", "window", "encoded.input_ids", "encoded.attention_mask")
 
 
 # --- answers --------------------------------------------------------------------------

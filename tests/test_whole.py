@@ -3,6 +3,7 @@
 import pytest
 
 from skerry import queries as core
+from skerry.sources import vocab
 
 
 def pairs(df):
@@ -40,3 +41,16 @@ def test_dense_and_fused_results_of_all_queries(spark, small):
     assert sparse - dense
     for query in (core.fusion_rank, core.rrf_fusion):
         assert {r.query_id for r in query(spark, small).collect()} == want
+
+
+def test_wordpiece_encodes_whole_texts(spark, small):
+    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "the", "##ing", "##tion", "th"]
+    ids = {w: i for i, w in enumerate(words)}
+    got = {}
+    for r in core.wordpiece_encode(spark, small).orderBy("item_id", "window").collect():
+        n = sum(r.attention_mask)
+        assert len(r.input_ids) == 128 and r.input_ids[0] == 2 and r.input_ids[n - 1] == 3 and not any(r.input_ids[n:])
+        got.setdefault(r.item_id, []).extend(r.input_ids[1 : n - 1])
+    for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
+        whole, mask = vocab.wordpiece(r.text, ids, 1 << 16)
+        assert got[r.item_id] == whole[1 : sum(mask) - 1]
