@@ -358,7 +358,7 @@ def rag_context(spark, sf):
 def extractive_answer(spark, sf):
     c = _t(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("question", F.first("text").over(w)).withColumn("n", F.row_number().over(w)).where("n between 2 and 7")
+    c = c.withColumn("question", F.first("text").over(w)).withColumn("n", F.row_number().over(w)).where("n >= 2")
     c = c.groupBy("conv_id").agg(F.first("question").alias("q"), F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("chunks"))
     a = answers.extractive_answer(F.col("chunks"), F.col("q"))
     return c.select("conv_id", a.alias("a")).select("conv_id", "a.answer", F.size("a.source_chunks").alias("n_sources"), "a.error")

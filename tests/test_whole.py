@@ -54,3 +54,11 @@ def test_wordpiece_encodes_whole_texts(spark, small):
     for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
         whole, mask = vocab.wordpiece(r.text, ids, 1 << 16)
         assert got[r.item_id] == whole[1 : sum(mask) - 1]
+
+
+def test_answers_from_late_turns(spark, tmp_path):
+    turns = ["where is the zebra", *["nothing of that"] * 8, "the zebra is in the ninth turn"]
+    rows = [(1, i, "user", x) for i, x in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = core.extractive_answer(spark, str(tmp_path)).first()
+    assert "ninth turn" in got.answer and got.error is None
