@@ -456,7 +456,7 @@ def postings_delta(spark, sf):
     c = _chunks(spark, sf)
     old = lexical.positions_of(c.where("parent_file_id % 2 = 0"))
     removed = c.where("parent_file_id % 6 = 0").select("chunk_id")
-    new = lexical.postings_delta(old, removed, c.where("parent_file_id % 10 = 1"))
+    new = lexical.postings_delta(old, removed, c.where("parent_file_id % 2 <> 0"))
     return lexical.vocabulary_of(new)
 
 

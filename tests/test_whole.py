@@ -62,3 +62,10 @@ def test_answers_from_late_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = core.extractive_answer(spark, str(tmp_path)).first()
     assert "ninth turn" in got.answer and got.error is None
+
+
+def test_postings_delta_reads_all_documents(spark, small):
+    from skerry.operators import lexical
+
+    left = lexical.vocabulary_of(lexical.positions_of(core._chunks(spark, small).where("parent_file_id % 6 <> 0")))
+    assert sorted(map(tuple, core.postings_delta(spark, small).collect())) == sorted(map(tuple, left.collect()))
