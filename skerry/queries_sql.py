@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from .functions import lexicon as L
+from .operators.vectors import LshConfig
 from .options import DAY_MS, DEFAULTS
 
 AS_OF = DEFAULTS.as_of_ms
 EXTENSIONS = ("txt", "md", "pdf", "json", "html", "png", "csv", "docx")
 RANK_LIMIT = 20
-LSH_COARSE = (4, 5, 48, 200, "IN_MEMORY")
-DENSE_QUERIES = [1, 2, 3, 4]
 MATCH_QUERIES = [
     (1, "the and"), (2, "erha th"), (3, "of-the in"), (4, "le la que"), (5, "| the"), (6, "der die und"), (7, ""),
     (8, "l'elle"), (9, "zzzz"), (10, "the the"), (11, "in-the-a"),
@@ -125,17 +124,40 @@ def _hashes(tables: int, bits: int) -> str:
     hs AS (SELECT chunk_id AS id, t::INT AS "table", sum(CASE WHEN list_dot_product(e, p) > 0 THEN 1 << b ELSE 0 END)::INT AS hash FROM v, pl GROUP BY ALL)"""
 
 
-_LSH = """cd AS (SELECT query_id, id, min("table") AS t FROM (SELECT a.id AS query_id, b.id, b."table" FROM hs a JOIN {0} b ON a."table" = b."table" AND a.hash = b.hash WHERE a.id % 100 = 0) GROUP BY ALL),
-    cc AS (SELECT query_id, id FROM cd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY t, id) <= {1}),
-    cs AS (SELECT query_id, id, list_cosine_similarity(qe, e) AS score FROM cc JOIN vq USING (query_id) JOIN v ON v.chunk_id = id)"""
+def _recall_steps(low: int = 1, high: int = 1 << 20) -> list[tuple[int, int, int]]:
+    """(least number of vectors, tables, bits): where the parameters chosen for recall change, for 64 dimensions."""
 
-_NUMBERED = f"{VECTORS}, vq AS (SELECT chunk_id // 100 AS query_id, e AS qe FROM v WHERE chunk_id IN ({', '.join(str(100 * q) for q in DENSE_QUERIES)}))"
+    def at(n):
+        c = LshConfig.for_recall(n, 64)
+        return c.tables, c.bits
+
+    def steps(a, b):
+        if at(a) == at(b):
+            return []
+        if b == a + 1:
+            return [(b, *at(b))]
+        mid = (a + b) // 2
+        return steps(a, mid) + steps(mid, b)
+
+    return [(low, *at(low)), *steps(low, high)]
+
+
+_LSH = f"""cfg AS (SELECT tables, bits FROM (VALUES {", ".join(map(str, _recall_steps()))}) s(low, tables, bits) WHERE low <= (SELECT count(*) FROM v) ORDER BY low DESC LIMIT 1),
+    pl AS (SELECT t, b, list(('0x' || substr(md5(t || ':' || b || ':' || d), 1, 6))::BIGINT / 16777216.0::DOUBLE * 2 - 1 ORDER BY d) AS p
+        FROM cfg, range(64) a(t), range(32) b(b), range(64) c(d) WHERE t < tables AND b < bits GROUP BY t, b),
+    hs AS (SELECT chunk_id AS id, t, sum(CASE WHEN list_dot_product(e, p) > 0 THEN 1 << b ELSE 0 END) AS hash FROM v, pl GROUP BY ALL),
+    cd AS (SELECT DISTINCT a.id AS query_id, b.id FROM hs a JOIN hs b ON a.t = b.t AND a.hash = b.hash WHERE a.id % 100 = 0),
+    cs AS (SELECT query_id, id, list_cosine_similarity(qe, e) AS score FROM cd JOIN vq USING (query_id) JOIN v ON v.chunk_id = id)"""
+
+_NUMBERED = f"{VECTORS}, vq AS (SELECT chunk_id // 100 AS query_id, e AS qe FROM v WHERE chunk_id % 100 = 0)"
 _DENSE = f"""{_knn(_NUMBERED, 60)},
     dh AS (SELECT query_id, v.chunk_id, parent_file_id, docs.text, score FROM knn JOIN v ON v.chunk_id = knn.id JOIN docs ON docs.id = parent_file_id),
     dr AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_file_id ORDER BY score DESC, chunk_id) AS rn FROM dh),
     da AS (SELECT query_id, parent_file_id AS id, max(score) AS score, string_agg(substr(text, 1, 200), ' ... ' ORDER BY rn) AS snippet FROM dr WHERE rn <= 3 GROUP BY ALL),
     dense AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM da QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {RANK_LIMIT})"""
-_BOTH = f"{SPARSE}, {_DENSE}"
+#: Vectors stand for the match queries of their numbers; the other queries have none.
+_MATCHED = f"{_NUMBERED[:-1]} AND chunk_id // 100 IN ({', '.join(str(i) for i, _ in MATCH_QUERIES)}))"
+_BOTH = f"{SPARSE}, {_DENSE.replace(_NUMBERED, _MATCHED)}"
 
 
 def _mm(x: str) -> str:
@@ -145,7 +167,7 @@ def _mm(x: str) -> str:
 _BT, _MT = (", ".join(map(_s, x)) for x in (L.BOOSTED_TYPES, L.MUTED_TYPES))
 FUSED = f"""{_BOTH},
     cand AS (SELECT coalesce(s.query_id, d.query_id) AS query_id, coalesce(s.id, d.id) AS id, coalesce(s.score, 0) AS b, coalesce(d.score, 0) AS d
-        FROM (SELECT * FROM sparse WHERE query_id IN ({', '.join(map(str, DENSE_QUERIES))})) s FULL JOIN dense d ON s.query_id = d.query_id AND s.id = d.id),
+        FROM sparse s FULL JOIN dense d ON s.query_id = d.query_id AND s.id = d.id),
     ca AS (SELECT cand.*, docs.title, docs.file_type, q.text AS qt, exp(-greatest(0, {AS_OF} - modified_at) / {float(DAY_MS)}::DOUBLE / 30.0::DOUBLE) AS r FROM cand JOIN docs USING (id) JOIN q USING (query_id)),
     cn AS (SELECT query_id, id, title, file_type, qt, {_mm('b')} AS nb, {_mm('d')} AS nd, {_mm('r')} AS nr FROM ca WINDOW w AS (PARTITION BY query_id)),
     fu AS (SELECT query_id, id, title, (0.45::DOUBLE * nb + 0.35::DOUBLE * nd + 0.10::DOUBLE * nr + CASE WHEN trim(qt) <> '' AND contains(lower(title), lower(qt)) THEN 0.10::DOUBLE ELSE 0::DOUBLE END)
@@ -308,7 +330,6 @@ _HEAD = (
 
 def oracle_sql() -> dict[str, str]:
     n_tables, n_bits = 5, 10
-    c_tables, c_bits, _, c_cand, _ = LSH_COARSE
     return {
         "chunk_documents": f"WITH {CHUNKS} SELECT chunk_id, parent_file_id, chunk_index, start_offset, end_offset, md5(text) AS text_md5 FROM ch",
         "chunk_backfill": f"WITH {DOCS} SELECT id AS parent_file_id, 0::INT AS chunk_index, 0::INT AS start_offset, length(text)::INT AS end_offset FROM docs WHERE text IS NOT NULL AND length(trim(text)) > 0",
@@ -334,9 +355,9 @@ def oracle_sql() -> dict[str, str]:
         "lsh_hash": f"WITH {VECTORS}, {_hashes(n_tables, n_bits)} SELECT id, \"table\", hash FROM hs",
         "lsh_bucket_stats": f"""WITH {VECTORS}, {_hashes(n_tables, n_bits)}, b AS (SELECT DISTINCT "table", hash FROM hs)
             SELECT (SELECT count(DISTINCT id) FROM hs) AS total_vectors, (SELECT count(DISTINCT "table") FROM hs) AS num_tables, count(*) AS buckets, round((SELECT count(DISTINCT id) FROM hs) / count(*), 6) AS avg_bucket_size FROM b""",
-        "lsh_search": f"""WITH {_HUNDRED}, {_hashes(c_tables, c_bits)}, {_LSH.format('hs', c_cand)},
+        "lsh_search": f"""WITH {_HUNDRED}, {_LSH},
             r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM cs) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
-        "dense_with_fallback": f"""WITH {_HUNDRED}, {_hashes(n_tables, n_bits)}, hb AS (SELECT * FROM hs WHERE id % 7 <> 0), {_LSH.format('hb', 80)},
+        "dense_with_fallback": f"""WITH {_HUNDRED}, {_LSH},
             near AS (SELECT *, 'ann' AS source, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM cs WHERE score >= 0.3),
             ex AS (SELECT query_id, chunk_id AS id, {_COS} AS score FROM vq, v WHERE query_id NOT IN (SELECT query_id FROM near)),
             exr AS (SELECT query_id, id, score, 'exact' AS source, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM ex WHERE score >= 0.3)
@@ -345,7 +366,7 @@ def oracle_sql() -> dict[str, str]:
         "minmax_norm": f"SELECT event_id, round({_mm('value')}, 6) AS norm FROM events WINDOW w AS (PARTITION BY event_type)",
         "zscore_norm": "SELECT event_id, round(CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END, 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)",
         "fusion_rank": f"WITH {FUSED} SELECT query_id, id, title, round(final_score, 6) AS final_score, (row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id))::INT AS rank FROM fu",
-        "rrf_fusion": f"""WITH {_BOTH}, al AS (SELECT query_id, id, rank FROM sparse WHERE query_id IN ({', '.join(map(str, DENSE_QUERIES))}) UNION ALL SELECT query_id, id, rank FROM dense),
+        "rrf_fusion": f"""WITH {_BOTH}, al AS (SELECT query_id, id, rank FROM sparse UNION ALL SELECT query_id, id, rank FROM dense),
             su AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM al GROUP BY ALL), rr AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM su)
             SELECT query_id, id, round(score, 9) AS score, rank FROM rr WHERE rank <= 25""",
         "mmr_diversify": _mmr(False),
@@ -356,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
         "file_aggregate_highlight": f"WITH {FILES} SELECT query_id, file_path, round(best_score, 6) AS best_score, snippets, rank FROM files",
         "post_filters": f"WITH {DOCS} SELECT id, file_type, modified_at FROM docs WHERE lower(file_type) = 'pdf' AND modified_at BETWEEN {AS_OF - 500 * DAY_MS} AND {AS_OF - 10 * DAY_MS}",
         "query_filters": f"""WITH {DOCS}, {UNDERSTOOD}, fq AS (SELECT query_id, {_first_of('value_str', 'FILE_TYPE')} AS t, {_first_of('value_num', 'DATE_RELATIVE', 'DATE_ABSOLUTE')} AS a FROM uq WHERE query_id < 1000)
-            SELECT query_id, id FROM fq, docs WHERE id < 50 AND (t IS NULL OR lower(file_type) = lower(t)) AND (a IS NULL OR modified_at >= a)""",
+            SELECT query_id, id FROM fq, docs WHERE (t IS NULL OR lower(file_type) = lower(t)) AND (a IS NULL OR modified_at >= a)""",
         "dense_skip": f"WITH {SPARSE}, sk AS (SELECT query_id, count(*) AS files, max(score) AS top FROM sparse GROUP BY 1) SELECT query_id, files, round(top, 6) AS top_score, files >= {RANK_LIMIT} AND top >= 0.85 AS skipped FROM sk",
         "query_normalize": f"""WITH {UNDERSTOOD} SELECT query_id, norm AS normalized, coalesce(array_to_string(regexp_extract_all(text, {_s(L.URL)}), '|'), '') AS urls, coalesce(array_to_string(regexp_extract_all(text, {_s(L.EMAIL)}), '|'), '') AS emails FROM uq""",
         "query_tokenize": f"WITH {UNDERSTOOD}, x AS (SELECT query_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) - 1 AS pos FROM uq) SELECT query_id, pos::INT AS pos, t.text AS text, 100::INT AS token_id, t.is_stopword AS is_stopword, t.importance AS importance FROM x",
@@ -377,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, len(ctx)::INT AS n_chunks, md5(coalesce(array_to_string(ctx, chr(10)), '')) AS context_md5, array_to_string(paths[1:3], '|') AS citations FROM px""",
         "extractive_answer": "WITH "
         + _answers(
-            "SELECT conv_id AS key, any_value(q) AS q, list(text ORDER BY n) AS chunks FROM (SELECT conv_id, text, first_value(text) OVER w AS q, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE n BETWEEN 2 AND 7 GROUP BY conv_id"
+            "SELECT conv_id AS key, any_value(q) AS q, list(text ORDER BY n) AS chunks FROM (SELECT conv_id, text, first_value(text) OVER w AS q, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE n >= 2 GROUP BY conv_id"
         )
         + " SELECT key AS conv_id, CASE WHEN error IS NULL THEN answer ELSE '' END AS answer, CASE WHEN error IS NULL THEN n_sources ELSE 0 END::INT AS n_sources, error FROM an",
         "rag_envelope": f"WITH {_GATHER}, px AS (SELECT q.query_id AS key, q.text AS q, CASE WHEN ga.query_id IS NULL THEN []::VARCHAR[] ELSE {_PACK.format('snippets', 5, 2000)} END AS chunks, paths FROM q LEFT JOIN ga USING (query_id)), "
@@ -400,7 +421,7 @@ def oracle_sql() -> dict[str, str]:
         "index_counters": f"WITH {_SCANNED} SELECT count(*) FILTER (status = 'new' AND body IS NOT NULL) AS new, count(*) FILTER (status = 'updated' AND body IS NOT NULL) AS updated, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status <> 'skipped' AND body IS NULL) AS errors FROM cl",
         "incremental_upsert": f"WITH {_SCANNED}, n AS (SELECT id, file_path, modified_at, size_bytes FROM cl WHERE status <> 'skipped' AND body IS NOT NULL) SELECT id, file_path, modified_at, size_bytes FROM stored WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n",
         "delete_by_path": f"WITH {DOCS} SELECT id, file_path FROM docs WHERE id % 4 <> 0",
-        "postings_delta": f"WITH {POSITIONS}, k AS (SELECT pos.* FROM pos JOIN ch USING (chunk_id) WHERE (parent_file_id % 2 = 0 AND parent_file_id % 6 <> 0) OR parent_file_id % 10 = 1) SELECT term, count(*) AS cf, count(DISTINCT chunk_id) AS df FROM k GROUP BY term",
+        "postings_delta": f"WITH {POSITIONS}, k AS (SELECT pos.* FROM pos JOIN ch USING (chunk_id) WHERE parent_file_id % 2 <> 0 OR parent_file_id % 6 <> 0) SELECT term, count(*) AS cf, count(DISTINCT chunk_id) AS df FROM k GROUP BY term",
         "html_parse": f"SELECT page_id, md5({_html()}) AS text_md5 FROM pages",
         "embedding_page": "SELECT vec_id AS chunk_id, label FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 100 OFFSET 150",
         "format_columns": f"""WITH {DOCS}, x AS (SELECT *, size_bytes * 331 - 5000 AS c, size_bytes * 977 AS n, (id % 101) / 100 AS s, CASE WHEN id % 9 = 0 THEN 0 ELSE modified_at END AS m0 FROM docs)
