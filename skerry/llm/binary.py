@@ -1,101 +1,78 @@
 """Token-id output: best-fit-decreasing packing into matrices of fixed width.
 
-Each task packs the documents it reads, in blocks of bounded size, so nothing is
-shuffled and a lost task is simply run again. Of the open sequences, the one with
-the least room that still suffices is found in a segment tree over capacities.
+Lengths of all documents are packed together: of the open sequences, the one with the
+least room that still suffices is found in a segment tree over capacities. Pieces
+then travel once, to the task that writes their sequence's row of the matrix.
 """
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .packing import Placement, best_fit_decreasing
-from .tokens import engine, pieces, token_ids
+from .bestfit import CAPACITY, SENT_PARTS, SEPARATOR, measured, placed
+from .packing import best_fit_decreasing
+from .tokens import engine
 
-CAPACITY, SEPARATOR, PAD = 2048, 0, 0
+PAD = 0
 SCHEMA = (
     "sequence_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>,"
     " doc_ids array<long>, piece_starts array<long>"
 )
 
 
-def pack_block(docs: list, ids: list, capacity: int, dtype: str, pad: int) -> dict:
-    """Matrix and segment tables of one block; ``ids`` are whole documents' token arrays."""
-    part = [(d, start, n) for d, a in enumerate(ids) for start, n in pieces(len(a), capacity)]
-    doc, start, length = (np.array(x, np.int64) for x in zip(*part))
-    counts = dict(zip(*(x.tolist() for x in np.unique(length, return_counts=True))))
-    plan = Placement(best_fit_decreasing(counts, capacity))
-    seq, off = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
-    order = np.argsort(length, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(length[order]) != 0, True])
-    for i, j in zip(cut[:-1], cut[1:]):
-        at = order[i:j]
-        seq[at], off[at] = plan.find(int(length[at[0]]), np.arange(j - i))
-    base = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum([len(a) for a in ids], out=base[1:])
-    flat = np.concatenate(ids)
-    matrix = np.full(plan.n_sequences * capacity, pad, dtype)
-    to = np.repeat(seq * capacity + off, length)
-    within = np.arange(len(to)) - np.repeat(np.cumsum(length) - length, length)
-    matrix[to + within] = flat[np.repeat(base[doc] + start, length) + within]
-    o = np.lexsort((off, seq))
-    return {"matrix": matrix.reshape(-1, capacity), "seq": seq[o], "off": off[o], "length": length[o], "doc": doc[o], "start": start[o], "ids": docs}
-
+def _assemble(capacity: int, dtype: str, pad: int):
+    """Rows of the matrix from pieces that come in order of sequence and offset."""
+    size = np.dtype(dtype).itemsize
+
+    def matrix(t: pa.Table) -> pa.RecordBatch:
+        seq, off, length = (t.column(c).to_numpy() for c in ("sequence_id", "offset", "length"))
+        first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+        edge = np.r_[first, len(seq)]
+        n, n_seg = len(first), np.diff(edge)
+        row = np.repeat(np.arange(n), n_seg)
+        ids = np.frombuffer(b"".join(x.as_buffer() for x in t.column("ids").combine_chunks()), dtype)
+        body = np.full(n * capacity, pad, dtype)
+        within = np.arange(len(ids)) - np.repeat(np.cumsum(length) - length, length)
+        body[np.repeat(row * capacity + off, length) + within] = ids
+        ends = off + length
+        # A row's cumulative lengths are 0 and then the end of each segment.
+        cu = np.insert(ends, first, 0)
+        lists = pa.array(edge.astype(np.int32))
+        where = pa.py_buffer((np.arange(n + 1) * capacity * size).astype(np.int32).tobytes())
+        return pa.record_batch(
+            [
+                pa.array(seq[first]),
+                pa.array(ends[edge[1:] - 1].astype(np.int32)),
+                pa.Array.from_buffers(pa.binary(), n, [None, where, pa.py_buffer(body.tobytes())]),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_seg + 1)].astype(np.int32)), pa.array(cu.astype(np.int32))),
+                pa.ListArray.from_arrays(lists, pa.array(off.astype(np.int32))),
+                pa.ListArray.from_arrays(lists, t.column("doc_id").combine_chunks()),
+                pa.ListArray.from_arrays(lists, t.column("start").combine_chunks()),
+            ],
+            names=["sequence_id", "n_tokens", "input_ids", "cu_seqlens", "position_resets", "doc_ids", "piece_starts"],
+        )
 
-def _packer(path, capacity, separator, pad, dtype, block_tokens):
     def rows(batches):
-        part, made = TaskContext.get().partitionId(), 0
-        docs, ids, held = [], [], 0
-
-        def flush():
-            nonlocal docs, ids, held, made
-            b = pack_block(docs, ids, capacity, dtype, pad)
-            docs, ids, held = [], [], 0
-            n = len(b["matrix"])
-            edge = np.searchsorted(b["seq"], np.arange(n + 1))
-            for i in range(0, n, 512):
-                j = min(n, i + 512)
-                s = slice(edge[i], edge[j])
-                lists = pa.array((edge[i : j + 1] - edge[i]).astype(np.int32))
-                n_seg = np.diff(edge[i : j + 1])
-                ends = b["off"][s] + b["length"][s]
-                # A row's cumulative lengths are 0 and then the end of each segment.
-                cu = np.insert(ends, (edge[i:j] - edge[i]), 0)
-                cu_off = pa.array((np.r_[0, np.cumsum(n_seg + 1)]).astype(np.int32))
-                body = pa.py_buffer(b["matrix"][i:j].tobytes())
-                width = capacity * b["matrix"].itemsize
-                where = pa.py_buffer((np.arange(j - i + 1) * width).astype(np.int32).tobytes())
-                doc_ids = pa.array([b["ids"][d] for d in b["doc"][s]], pa.int64())
-                yield pa.record_batch(
-                    [
-                        pa.array((part << 33) + made + np.arange(i, j)),
-                        pa.array(np.add.reduceat(b["length"][s], edge[i:j] - edge[i]).astype(np.int32)),
-                        pa.Array.from_buffers(pa.binary(), j - i, [None, where, body]),
-                        pa.ListArray.from_arrays(cu_off, pa.array(cu.astype(np.int32))),
-                        pa.ListArray.from_arrays(lists, pa.array(b["off"][s].astype(np.int32))),
-                        pa.ListArray.from_arrays(lists, doc_ids),
-                        pa.ListArray.from_arrays(lists, pa.array(b["start"][s])),
-                    ],
-                    names=["sequence_id", "n_tokens", "input_ids", "cu_seqlens", "position_resets", "doc_ids", "piece_starts"],
-                )
-            made += n
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                a = np.append(next(token_ids([text.as_py()], path)), np.uint32(separator))
-                docs.append(doc)
-                ids.append(a)
-                held += len(a)
-                if held >= block_tokens:
-                    yield from flush()
-        if ids:
-            yield from flush()
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            seq = t.column("sequence_id").to_numpy()
+            # The last sequence may go on in the next batch.
+            cut = int(np.searchsorted(-(seq != seq[-1]).astype(int), 0))
+            for i in range(0, cut, 1 << 12):
+                # Whole sequences, about 4,096 pieces at a time.
+                lo = int(np.searchsorted(seq, seq[i])) if i else 0
+                hi = int(np.searchsorted(seq, seq[i + (1 << 12)])) if i + (1 << 12) < cut else cut
+                if hi > lo:
+                    yield matrix(t.slice(lo, hi - lo))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield matrix(held)
 
     return rows
 
@@ -108,7 +85,7 @@ def pack_token_ids(
     capacity: int = CAPACITY,
     separator: int = SEPARATOR,
     pad: int = PAD,
-    block_tokens: int = 1 << 23,
+    sent_parts: int = SENT_PARTS,
 ) -> DataFrame:
     """A row per packed sequence.
 
@@ -120,44 +97,15 @@ def pack_token_ids(
     what is left over, so that the segments give back every document. A null or
     empty text is the separator alone; null ids stay null; repeated rows are packed
     like any other. An empty table gives an empty result; other columns are unread.
-    Sequences of one block of ``block_tokens`` are packed together.
+    The number of sequences depends on the documents' lengths alone.
     """
     dtype = "<u2" if engine(tokenizer).n_vocab <= 1 << 16 and max(separator, pad) < 1 << 16 else "<u4"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_packer(tokenizer, capacity, separator, pad, dtype, block_tokens), SCHEMA)
+    found = measured(docs, tokenizer, id_col, text_col, capacity, separator, dtype)
+    rows = placed(found, best_fit_decreasing, capacity, sent_parts)
+    rows = rows.select("sequence_id", "offset", "length", "doc_id", "start", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return rows.mapInArrow(_assemble(capacity, dtype, pad), SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Write sequences as Parquet through Spark's committer: a retried task leaves no part twice."""
+    """Write sequences as Parquet through Spark's committer, on any file system: a retried task leaves no part twice."""
     packed.write.option("compression", "zstd").mode("overwrite").parquet(path)
-
-
-def export_matrices(packed: DataFrame, folder: str, capacity: int = CAPACITY, itemsize: int = 2) -> DataFrame:
-    """Raw files in a folder that all executors share: a row per file written.
-
-    Per task: ``ids-N.bin`` (the matrix, row by row), ``cu-N.bin`` (int32 cumulative
-    lengths, rows one after another) and ``resets-N.bin`` (int32 position resets).
-    Files are written under a name of their own and then renamed, so a task that runs
-    twice leaves whole files only.
-    """
-
-    def write(batches):
-        part = TaskContext.get().partitionId()
-        tag = f"{part:06d}"
-        names = {c: os.path.join(folder, f"{c}-{tag}.bin") for c in ("ids", "cu", "resets")}
-        temp = {c: f"{p}.{TaskContext.get().taskAttemptId()}" for c, p in names.items()}
-        n = 0
-        os.makedirs(folder, exist_ok=True)
-        files = {c: open(p, "wb") for c, p in temp.items()}
-        for b in batches:
-            n += b.num_rows
-            for raw in b.column(0):
-                files["ids"].write(raw.as_buffer())
-            files["cu"].write(b.column(1).flatten().to_numpy().astype("<i4").tobytes())
-            files["resets"].write(b.column(2).flatten().to_numpy().astype("<i4").tobytes())
-        for c, f in files.items():
-            f.close()
-            os.replace(temp[c], names[c])
-        yield pa.record_batch([pa.array([names["ids"]]), pa.array([n], pa.int64())], names=["path", "n_sequences"])
-
-    return packed.select("input_ids", "cu_seqlens", "position_resets").mapInArrow(write, "path string, n_sequences long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bestfit import best_fit_packing
-from .binary import pack_token_ids
+from .binary import pack_token_ids, write_packed
 from .common import scratch_path, table
 from .exact import exact_dedup
 from .lines import remove_boilerplate
@@ -54,7 +54,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_token_ids(table(spark, sf_dir, "documents"), tokenizer_path())
+    path = scratch_path(spark, "packed")
+    write_packed(pack_token_ids(table(spark, sf_dir, "documents"), tokenizer_path()), path)
+    return spark.read.parquet(path)
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Bin packing, tokens and the packed outputs."""
 
+import functools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -104,15 +105,18 @@ def test_pieces():
     assert tokens.pieces(23, 10) == [(0, 3), (3, 10), (13, 10)]
 
 
-def plain_ids(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(tokens.tokenizer_path())
+
+
+def plain_ids(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
-TEXTS = ["", "plain words", "<|endoftext|> stays text", "tabs\t\tand   spaces\n\n\nend  ", "naïve 漢字 🎉 ​", "x" * 5000, "12345 6789 it's we'll"]
+TEXTS = ["", "plain words", "a <|endoftext|>is one id<|endoftext|>", "<|endoftext", "a\n" + " " * 1_000_000 + "b", "\n" * 1_000_000, " \t" * 20_000 + "x", "tabs\t\tand   spaces\n\n\nend  ", "naïve 漢字 🎉 ​", "x" * 5000, "12345 6789 it's we'll"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -127,9 +131,9 @@ def test_ids_of_any_text(text):
 
 
 def test_best_fit_packing_round_trip(spark):
-    rows = [r[:2] for r in ODD if r[0] != 5] + [(20, TEXTS[5]), (21, TEXTS[4])]
+    rows = [r[:2] for r in ODD if r[0] != 5] + [(20, "x" * 5000), (21, "naïve 漢字 🎉"), (22, TEXTS[2]), (23, "\n" * 1_000_000)]
     rows = [(d, t) for d, t in rows if d is not None]
-    got = bestfit.best_fit_packing(table(spark, rows), tokens.tokenizer_path(), bucket_rows=3).collect()
+    got = bestfit.best_fit_packing(table(spark, rows), tokens.tokenizer_path(), sent_parts=0).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
@@ -161,10 +165,12 @@ def test_best_fit_packing_of_null_ids_repeats_and_nothing(spark):
 
 
 def test_token_matrices_round_trip(spark, tmp_path):
-    rows = [(d, t) for d, t in (r[:2] for r in ODD) if d not in (None, 5)] + [(20, TEXTS[5])]
-    packed = binary.pack_token_ids(table(spark, rows), tokens.tokenizer_path(), block_tokens=20_000)
-    got = packed.collect()
-    docs, seen = defaultdict(dict), set()
+    rows = [(d, t) for d, t in (r[:2] for r in ODD) if d not in (None, 5)] + [(20, "x" * 5000), (21, TEXTS[2])]
+    rows += [(100 + i, f"short text {i} " * (i % 40)) for i in range(3000)]
+    path = str(tmp_path / "parquet")
+    binary.write_packed(binary.pack_token_ids(table(spark, rows), tokens.tokenizer_path()), path)
+    got = spark.read.parquet(path).collect()
+    docs, seen, lengths = defaultdict(dict), set(), Counter()
     for r in got:
         m = np.frombuffer(r.input_ids, "<u2")
         assert len(m) == 2048 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and not m[r.n_tokens :].any()
@@ -172,12 +178,10 @@ def test_token_matrices_round_trip(spark, tmp_path):
         seen.add(r.sequence_id)
         for a, b, d, s in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids, r.piece_starts):
             docs[d][s] = m[a:b].tolist()
+            lengths[b - a] += 1
     for d, t in rows:
         assert [i for s in sorted(docs[d]) for i in docs[d][s]] == plain_ids(t)
-    files = binary.export_matrices(packed, str(tmp_path / "out")).collect()
-    assert sum(f.n_sequences for f in files) == len(got)
-    body = b"".join(open(f.path, "rb").read() for f in sorted(files, key=lambda f: f.path))
-    assert sorted(body[i : i + 4096] for i in range(0, len(body), 4096)) == sorted(bytes(r.input_ids) for r in got)
-    binary.write_packed(packed, str(tmp_path / "parquet"))
-    assert spark.read.parquet(str(tmp_path / "parquet")).count() == len(got)
+    assert len(got) == best_fit_plain(list(lengths.elements()), 2048)
+    again = binary.pack_token_ids(table(spark, rows).repartition(7), tokens.tokenizer_path(), sent_parts=0)
+    assert again.count() == len(got)
     assert binary.pack_token_ids(table(spark, []), tokens.tokenizer_path()).count() == 0

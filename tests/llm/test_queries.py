@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -16,6 +17,7 @@ from skerry.llm.tokens import engine, tokenizer_path
 from .helpers import ODD, lower_ascii, words
 from .helpers import table as small_table
 from .test_dedup import fingerprint_plain, groups_plain, substring_plain
+from .test_packing import best_fit_plain, plain_ids
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +62,32 @@ def test_toxicity_query(spark, small):
     assert sum(got[i].predicted == y for i, y in labels.items()) / len(labels) > 0.85
 
 
+def test_packing_queries_are_whole(spark, small):
+    """Pieces, checksums and the number of sequences, from the tokenizer itself."""
+    docs = table(spark, small, "documents").collect()
+    want, lengths = {}, Counter()
+    for r in docs:
+        ids, at = plain_ids(r.text), 0
+        head = len(ids) % 2048 or 2048
+        for k, end in enumerate(range(head, len(ids) + 1, 2048) if len(ids) > 2048 else [len(ids)]):
+            want[r.doc_id, k] = (at, end - at, zlib.crc32(np.array(ids[at:end], "<u4").tobytes()))
+            lengths[end - at] += 1
+            at = end
+        assert at == len(ids)
+    got = queries.op8_best_fit(spark, small).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    filled = defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for parts in filled.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(filled) <= best_fit_plain(list(lengths.elements()), 2048)
+    rows = queries.op7_token_matrices(spark, small).collect()
+    assert len(rows) == best_fit_plain(list(lengths.elements()), 2048)
+    assert Counter((d, s, b - a) for r in rows for d, s, a, b in zip(r.doc_ids, r.piece_starts, r.cu_seqlens, r.cu_seqlens[1:])) == Counter((d, s, n) for (d, _), (s, n, _) in want.items())
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     docs = small_table(spark, [*ODD, *[(100 + i, f"steady text number {i} of some words that a quality rule should keep in any case {i}") for i in range(30)]])
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -105,7 +133,7 @@ def test_pipeline_against_plain_stages(spark, small):
     enc = engine(tokenizer_path())
     want = Counter()
     for r in left:
-        n = len(enc.encode_ordinary(r.text)) + 1
+        n = len(enc.ids(r.text)) + 1
         want[r.doc_id] += n * copies[r.doc_id]
 
     mark = scratch_mark()
