@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -15,14 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own: list[str] = []
-_made: list[str] = []
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share; in local mode, where none is set, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="skerry-"))
     return _own[0]
@@ -30,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/skerry-{uuid.uuid4().hex}-{name}"
-    _made.append(path)
+    for made in _scopes.get():
+        made.append(path)
     return path
 
 
@@ -46,12 +52,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_mark() -> int:
-    return len(_made)
-
-
-def scratch_since(mark: int) -> list[str]:
-    return _made[mark:]
+@contextlib.contextmanager
+def scratch_scope():
+    """A list of the scratch tables that are made within, by this thread."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield made
+    finally:
+        _scopes.reset(token)
 
 
 def release_scratch(spark: SparkSession, paths: list[str]) -> None:
@@ -60,7 +69,6 @@ def release_scratch(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    _made[:] = [p for p in _made if p not in paths]
 
 
 def fresh(df: DataFrame, name: str) -> str:

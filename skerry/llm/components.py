@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def checksum(*cols):
+    """Aggregates (n, s) that tell sets of distinct rows apart; neither can overflow at any size."""
+    return F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*cols)).alias("s")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge that isn't its component's smallest node.
 
@@ -19,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def state(df):
-        return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40))).alias("s")).first()
+        return df.agg(*checksum("hi", "lo")).first()
 
     star = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     star = materialize(star, "edges")

@@ -271,6 +271,19 @@ class KneserNey:
         return out
 
 
+def _unequal(data, starts, ends, doc, a, b, k: int = 1) -> set[int]:
+    """Documents in which the k runs from place a[i] differ from those from b[i], though their hashes agree."""
+    raw, found = data.tobytes(), set()
+    if k == 1:
+        spans = zip(a.tolist(), b.tolist(), starts[a].tolist(), ends[a].tolist(), starts[b].tolist(), ends[b].tolist())
+    else:
+        spans = zip(a.tolist(), b.tolist(), starts[a].tolist(), ends[a + k - 1].tolist(), starts[b].tolist(), ends[b + k - 1].tolist())
+    for p, q, s, e, t, f in spans:
+        if raw[s:e] != raw[t:f] and (k == 1 or any(raw[starts[p + i] : ends[p + i]] != raw[starts[q + i] : ends[q + i]] for i in range(k))):
+            found.add(int(doc[p]))
+    return found
+
+
 def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each document."""
     n_docs = len(offsets) - 1
@@ -298,8 +311,11 @@ def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
         of = np.searchsorted(offsets, line, "right") - 1
         key = HASH_A.runs(data, line, stop) ^ mix64(of.astype(np.uint64) + np.uint64(1))
         o = np.argsort(key, kind="stable")
-        again = key[o][1:] == key[o][:-1]
+        again = np.flatnonzero(key[o][1:] == key[o][:-1])
         n_dup = np.bincount(of[o][1:][again], minlength=n_docs)
+        for d in _unequal(data, line, stop, of, o[again], o[again + 1]):
+            mine = np.flatnonzero(of == d)
+            n_dup[d] = len(mine) - len({data[a:b].tobytes() for a, b in zip(line[mine], stop[mine])})
 
     # Words in 5-word windows that the document holds twice or more.
     n_rep = np.zeros(n_docs, np.int64)
@@ -307,11 +323,18 @@ def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     if len(w):
         key = w ^ mix64(doc[: len(w)].astype(np.uint64) + np.uint64(1))
         ok = doc[: len(w)] == doc[4:]
-        inner = np.sort(key[ok])
-        twice = np.unique(inner[1:][inner[1:] == inner[:-1]])
-        if len(twice):
-            i = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
-            at = np.flatnonzero(ok & (twice[i] == key))
+        inside = np.flatnonzero(ok)
+        o = inside[np.argsort(key[inside], kind="stable")]
+        again = np.flatnonzero(key[o][1:] == key[o][:-1])
+        if len(again):
+            at = np.unique(np.concatenate([o[again], o[again + 1]]))
+            for d in _unequal(data, starts, ends, doc, o[again], o[again + 1], 5):
+                mine = inside[doc[inside] == d]
+                seen: dict[tuple, list] = {}
+                for p in mine.tolist():
+                    seen.setdefault(tuple(data[a:b].tobytes() for a, b in zip(starts[p : p + 5], ends[p : p + 5])), []).append(p)
+                true = [p for places in seen.values() if len(places) > 1 for p in places]
+                at = np.union1d(at[doc[at] != d], np.array(true, np.int64))
             edge = np.zeros(len(h) + 5, np.int32)
             edge[at] += 1
             edge[at + 5] -= 1

@@ -11,6 +11,8 @@ it; components join the forests.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -79,11 +81,12 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE,
 
 
 def _fingerprint_batches(batches):
+    """The last column's fingerprints in its place."""
     for b in batches:
-        data, off = buffers(b.column(1))
+        data, off = buffers(b.column(b.num_columns - 1))
         parts = [fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off)]
         f = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        yield pa.record_batch([b.column(0), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.record_batch([*b.columns[:-1], pa.array(f.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -206,42 +209,48 @@ def _bucket_links(radius: int, buffer: int = 1 << 18):
     return links
 
 
-def _bits(code, low: int, width: int):
-    return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << width) - 1))
+def _split(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (key, rest, w, fp) dealt by each of n blocks of their w remaining bits; the other bits remain."""
+    made = []
+    for i in range(n):
+        low = f"(w div {n}) * {i}"
+        width = f"w div {n}" if i < n - 1 else f"w - {low}"
+        under = f"rest & (shiftleft(1L, cast({low} AS int)) - 1)"
+        value = f"shiftrightunsigned(rest, cast({low} AS int))"
+        rest = under
+        if i < n - 1:
+            value = f"{value} & (shiftleft(1L, cast({width} AS int)) - 1)"
+            rest = f"shiftleft(shiftrightunsigned(rest, cast({low} + {width} AS int)), cast({low} AS int)) | ({under})"
+        made.append(f"struct(xxhash64(key, {i}, {value}) AS key, {rest} AS rest, w - ({width}) AS w)")
+    return rows.select(F.expr(f"explode(array({', '.join(made)}))").alias("e"), "fp").select("e.key", "e.rest", "e.w", "fp")
 
 
 def linked_codes(codes: DataFrame, radius: int = RADIUS, hot_bucket: int = 1 << 18) -> DataFrame:
-    """Spanning links (a, b) of the distinct codes in column fp, at ``radius`` or fewer bits.
+    """Spanning links (a, b) of the distinct codes in column fp, at ``radius`` (1 or more) or fewer bits.
 
-    Buckets are the values of radius + 1 blocks. A bucket of over ``hot_bucket``
-    codes is split by blocks of its other bits, which loses no pair either.
+    Buckets are the values of radius + 1 blocks, of which linked codes share one. A
+    bucket of over ``hot_bucket`` codes is split by blocks of its remaining bits in the
+    same way, again and again, which loses no pair either: w remaining bits hold
+    at most 2**w distinct codes, so a few splits bring every bucket under the limit.
+    Keys are hashes of the way to a bucket; buckets that meet by chance do no harm.
     """
-    n = radius + 1
-    width = 64 // n
-    fp = F.col("fp")
-    # Bits of block b are rotated down to 0..width-1, the others follow.
-    entry = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _bits(fp, b * width, width if b < radius else 64 - width * radius).alias("v")) for b in range(n)]))
-    rows = codes.select(entry.alias("e"), "fp").select("e.b", "e.v", "fp")
-    counts = rows.groupBy("b", "v").count().where(F.col("count") > hot_bucket).select("b", "v")
-    hot = materialize(counts, "hot-buckets")
-    keys = ["b", "v"]
-    if not is_empty(hot):
-        rows = rows.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-        rest = 64 - width
-        sub = rest // n
-        low = F.when(F.col("b") == 0, F.shiftrightunsigned(fp, width))
-        for b in range(1, radius):
-            under = fp.bitwiseAND(F.lit((1 << (b * width)) - 1))
-            low = low.when(F.col("b") == b, F.shiftrightunsigned(fp, (b + 1) * width) * F.lit(1 << (b * width)) + under)
-        low = low.otherwise(fp.bitwiseAND(F.lit((1 << (radius * width)) - 1)))
-        parts = [F.struct(F.lit(i).alias("i"), _bits(F.col("_rest"), i * sub, sub if i < radius else rest - sub * radius).alias("w")) for i in range(n)]
-        whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("w")))
-        rows = rows.withColumn("_rest", low).withColumn("s", F.explode(F.when(F.col("_hot"), F.array(*parts)).otherwise(whole)))
-        rows = rows.select("b", "v", "s.i", "s.w", "fp")
-        keys = ["b", "v", "i", "w"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-    rows = rows.select(*[F.col(k).cast("long").alias(k) for k in keys], "fp")
-    return rows.mapInArrow(_bucket_links(radius), "a long, b long")
+    rows = _split(codes.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), F.lit(64).cast("long").alias("w"), "fp"), radius + 1)
+    done = []
+    while True:
+        hot = materialize(rows.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"), "hot-buckets")
+        if is_empty(hot):
+            done.append(rows)
+            break
+        done.append(rows.join(hot, "key", "left_anti"))
+        rows = _split(rows.join(hot, "key", "left_semi").where("w > 0"), radius + 1)
+    rows = functools.reduce(DataFrame.unionByName, done).select("key", "fp")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius), "a long, b long")
+
+
+def _components_of(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (fp, ...) with root, the least code of each one's component."""
+    roots = components(linked_codes(nodes.select("fp"), radius))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -256,16 +265,48 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = materialize(rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "codes")
-    roots = components(linked_codes(nodes.select("fp"), radius))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    linked = _components_of(nodes, radius)
     ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = materialize(linked.join(ids, "root").select("fp", "component_id"), "code-components")
     out = rows.join(ids, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each component; rows with a null id stay."""
-    marks = simhash_groups(docs, id_col, text_col)
-    gone = materialize(marks.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def _text_key(text):
+    """128 bits that stand for a text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("near"), text).alias("h2"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component of near copies; all columns stay.
+
+    The row of the smallest id stays. Rows are judged by id and text, as ids need not
+    tell them apart: of rows of one id in different components each component keeps
+    its own, of several rows that qualify the one whose text hash is smallest, and
+    of equal rows any one. In a component of rows with null ids only, one of them
+    stays. A null or empty text has fingerprint zero. An empty table gives an empty
+    result. Texts move only if the rows to drop are too many to be sent along.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    doc_id, text = F.col(names[id_col]).cast("long"), F.col(names[text_col])
+    marks = rows.select(doc_id.alias("id"), _text_key(text).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
+    marks = materialize(marks.select("id", "h.h1", "h.h2", "text").mapInArrow(_fingerprint_batches, "id long, h1 long, h2 long, fp long"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h1", "h2")).alias("best")
+    nodes = materialize(marks.groupBy("fp").agg(first), "codes")
+    linked = _components_of(nodes, radius)
+    best = linked.groupBy("root").agg(F.min("best").alias("kept"))
+    kept = materialize(linked.join(best, "root").select("fp", "kept"), "code-components")
+    judged = marks.join(kept, "fp").withColumn("stays", F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h1") == F.col("kept.h1")) & (F.col("h2") == F.col("kept.h2")))
+    # Per id and text: whether all its rows go, or one of several stays.
+    judged = judged.groupBy("id", "h1", "h2").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    judged = materialize(judged.select(F.struct("id", "h1", "h2").alias("_key"), "stays"), "near-copies")
+
+    key = F.struct(doc_id.alias("id"), _text_key(text).getField("h1").alias("h1"), _text_key(text).getField("h2").alias("h2"))
+    out = rows.join(judged, key.eqNullSafe(F.col("_key")), "left_anti")
+    repeated = judged.where("stays").select("_key")
+    if not is_empty(repeated):
+        again = rows.withColumn("_own", key).join(repeated, F.col("_own").eqNullSafe(F.col("_key")), "left_semi")
+        out = out.unionByName(again.dropDuplicates(["_own"]).drop("_own"))
+    return out.select([F.col(n).alias(c) for c, n in names.items()])

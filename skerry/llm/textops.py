@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -27,46 +28,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Poly:
-    """Polynomial hash of byte runs modulo 2**64 with random byte values."""
+class RunHash:
+    """64-bit hashes of byte runs: eight bytes at a time through a bijective mix, XXH3 beyond ``SPAN`` bytes.
 
-    SPAN = 1 << 14
+    Every step is non-linear, so no family of strings collides by its structure.
+    """
+
+    SPAN = 64
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.byte = rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
-        self.base = int(rng.integers(1, 1 << 62)) * 4 + 3
-        self.low = self._powers(self.base, self.SPAN)
-        self.step = pow(self.base, self.SPAN, 1 << 64) * 5 % (1 << 64)
-
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base & (2**64 - 1), U64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-        """Hashes of data[starts[i]:ends[i]]; runs are disjoint, in order and not empty."""
-        out = np.empty(len(starts), U64)
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(starts, starts[i] + block)))
-            s, e = starts[i:j], ends[i:j]
-            lens = e - s
-            cum = np.zeros(j - i, np.int64)
-            np.cumsum(lens[:-1], out=cum[1:])
-            off = np.arange(int(cum[-1] + lens[-1]), dtype=np.int64) - np.repeat(cum, lens)
-            vals = self.byte[data[off + np.repeat(s, lens)]]
-            if int(lens.max()) > self.SPAN:
-                vals *= self._powers(self.step, int(lens.max()) // self.SPAN + 1)[off >> 14]
-                off &= self.SPAN - 1
-            vals *= self.low[off]
-            out[i:j] = np.add.reduceat(vals, cum) + lens.astype(U64) * U64(0x9E3779B97F4A7C15)
-            i = j
-        return mix64(out)
-
-
-HASH_A, HASH_B = Poly(20240607), Poly(77003141)
+        self.seed = seed
+        self.mask = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of data[starts[i]:ends[i]]."""
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eight = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+        left = ends - starts
+        out = mix64(left.astype(U64) + U64(self.seed))
+        long_ = np.flatnonzero(left > self.SPAN)
+        at = np.flatnonzero(left <= self.SPAN) if len(long_) else np.arange(len(starts))
+        pos, left = starts[at], left[at]
+        while len(at):
+            out[at] = mix64((out[at] ^ (eight[pos] & self.mask[np.minimum(left, 8)])) * U64(0x9E3779B97F4A7C15))
+            more = left > 8
+            at, pos, left = at[more], pos[more] + 8, left[more] - 8
+        if len(long_):
+            raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+            out[long_] = np.fromiter((digest(raw[a:b], self.seed) for a, b in zip(starts[long_].tolist(), ends[long_].tolist())), U64, len(long_))
+        return out
+
+
+HASH_A = RunHash(20240607)
 
 
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:

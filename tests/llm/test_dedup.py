@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from skerry.llm import exact, lines, simhash, substring
-from skerry.llm.components import components
+from skerry.llm.components import checksum, components
 
 from .helpers import LONG, ODD, PASSAGE, lower_ascii, table, words
 
@@ -110,6 +110,22 @@ def test_drop_near_copies(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 9, None]
 
 
+def test_drop_near_copies_judges_rows_not_ids(spark):
+    a, b = "alpha beta gamma delta epsilon", "one two three four five six"
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.drop_near_copies(table(spark, rows)).collect()), key=str)
+    assert kept([(5, a), (5, b), (3, b)]) == [(3, b), (5, a)]
+    assert kept([(5, a), (5, a), (5, a), (5, b)]) == [(5, a), (5, b)]
+    assert kept([(None, a), (None, a), (None, b), (7, b), (8, None), (9, "")]) == [(7, b), (8, None), (None, a)]
+    df = table(spark, [])
+    out = simhash.drop_near_copies(df)
+    assert out.count() == 0 and out.columns == df.columns
+
+
+def test_checksum_does_not_overflow(spark):
+    a, b = (spark.range(n, numPartitions=8).select("id").agg(*checksum("id")).first() for n in (1 << 25, (1 << 25) - 1))
+    assert a.n == 1 << 25 and (a.n, a.s) != (b.n, b.s)
+
+
 def test_gray_rank_orders_neighbours_by_one_bit():
     codes = np.arange(64, dtype=np.uint64)
     order = codes[np.argsort(simhash.gray_rank(codes))]
@@ -133,7 +149,7 @@ def test_hot_buckets_lose_no_link(spark):
     codes |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for c in list(codes) for _ in range(3)}
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
     df = spark.createDataFrame(signed, "fp long")
-    plain, split = (sorted(map(tuple, components(simhash.linked_codes(df, hot_bucket=n)).collect())) for n in (1 << 18, 1))
+    plain, split = (sorted(map(tuple, components(simhash.linked_codes(df, hot_bucket=n)).collect())) for n in (1 << 18, 60))
     ordered = sorted(x for (x,) in signed)
     label = dict(zip(ordered, ordered))
     comps = groups_plain(ordered, [x & ((1 << 64) - 1) for x in ordered])
@@ -187,6 +203,20 @@ def test_substring_random_passages(spark):
     assert rows_of(substring.substring_dedup(table(spark, rows))) == substring_plain(rows)
 
 
+def thue_morse(n=2048):
+    """Two words that polynomial hashes modulo powers of two can't tell apart."""
+    t = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+
+
+def test_substring_tells_structured_words_apart(spark):
+    x, y = thue_morse()
+    same = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"{x} {same}"), (4, f"{y} {same}"), (5, f"{x} {same}")]
+    rows += [(10, " ".join([x, y] * 10)), (11, " ".join([y, x] * 10 + [x]))]
+    assert rows_of(substring.substring_dedup(table(spark, rows))) == substring_plain(rows)
+
+
 def test_substring_text_is_returned_on_request(spark):
     rows = [(1, PASSAGE), (2, f"new {PASSAGE} end")]
     got = {r.doc_id: r.kept_text for r in substring.substring_dedup(table(spark, rows), with_text=True).collect()}

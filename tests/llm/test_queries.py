@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from skerry.llm import queries
-from skerry.llm.common import scratch_mark, table
+from skerry.llm.common import shared_dir, table
 from skerry.llm.quality import quality_rules
 from skerry.llm.tokens import engine, tokenizer_path
 
@@ -136,9 +136,12 @@ def test_pipeline_against_plain_stages(spark, small):
         n = len(enc.ids(r.text)) + 1
         want[r.doc_id] += n * copies[r.doc_id]
 
-    mark = scratch_mark()
-    got = corpus_pipeline.run(spark, small).collect()
-    assert scratch_mark() >= mark
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    first, got = corpus_pipeline.run(spark, small), corpus_pipeline.run(spark, small)
+    left = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before
+    assert len(left) == 2 and all(x.endswith("-packed") for x in left)
+    got = got.collect()
+    assert first.count() == len(got)
     have = Counter()
     seq = defaultdict(list)
     for r in got:

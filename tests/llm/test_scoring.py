@@ -15,6 +15,7 @@ from skerry.llm import mixing, quality, toxicity, warc
 from skerry.llm.common import table as read
 
 from .helpers import ODD, table, words
+from .test_dedup import thue_morse
 
 
 def base_plain(text):
@@ -35,7 +36,8 @@ def base_plain(text):
 
 
 def test_quality_base_rules(spark):
-    rows = [*ODD, (30, "a b c d e " * 6), (31, "one two three four five six seven eight nine ten # $ <b>\nx\nx\n x"), (32, "\n\n\n"), (33, "w\nw"), (34, "\x0b\n\x0b")]
+    x, y = thue_morse()
+    rows = [*ODD, (40, f"{x}\n{y}\n{x}"), (41, " ".join([x, "b", "c", "d", "e", y, "b", "c", "d", "e", "f"] * 2)), (42, " ".join([x, "b", "c", "d", "e", "f", "g", y, "b", "c", "d", "e", "z"])), (30, "a b c d e " * 6), (31, "one two three four five six seven eight nine ten # $ <b>\nx\nx\n x"), (32, "\n\n\n"), (33, "w\nw"), (34, "\x0b\n\x0b")]
     got = quality.quality_rules(table(spark, rows)).collect()
     cols = (*quality.FEATURES, "base_failed")
     assert sorted((str(r.doc_id), *(r[c] for c in cols)) for r in got) == sorted((str(r[0]), *base_plain(r[1])) for r in rows)
