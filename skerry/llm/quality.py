@@ -1,74 +1,40 @@
 """Quality rules with n-gram perplexity bands.
 
-A modified Kneser-Ney model over 5-grams of real code points is counted and
-smoothed by Spark on all documents. Its tables are as large as the corpus makes
-them: they stay distributed and are written to the shared folder, and nothing of
-them is collected or broadcast. Each text is scored by the model of the other half
-of the texts (halves by text hash), so a text never vouches for itself. Texts lie
-in blocks; a block asks for its distinct n-grams by a join and meets the answers
-in one group. Bands around each language's median perplexity decide; they are
-fitted on all documents.
-
-``KneserNey`` over ``ngram_keys`` is the same smoothing in memory, for 4-grams of
-32 folded byte classes; the operators don't use it.
+A modified Kneser-Ney model over 5-grams of code points is counted and smoothed by
+Spark on all documents. It is as large as the corpus makes it and never collected or
+broadcast: it is stored in shards of sorted hash arrays, each with two arrays of log
+probabilities, one per half of the texts (halves by text hash). A text is scored
+by the model of the other half, so it never vouches for itself.
+
+Texts are stored once, in blocks that lie in buckets, and don't move again. A block
+asks each shard for its distinct 5-grams; the requests, packed to a few bytes a
+5-gram, are also what the counts are summed from. The answers go back to the block as
+arrays in the order of the request. The perplexity is that per word, and bands
+around each language's median decide; they are fitted on all documents.
 """
 
 from __future__ import annotations
 
 import functools
-import os
+import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import store_blocks
 from .common import materialize
 from .textops import HASH_A, blocks, buffers, mix64, per_doc, windows, words
 
-ORDER, BITS = 4, 5
-EDGE, SPACE, DIGIT, PUNCT, SYMBOL, OTHER = 0, 27, 28, 29, 30, 31
 FOLDS = 2
 _SYMBOLS = b"#*$%&|<>"
-
-
-def _alphabet() -> np.ndarray:
-    lut = np.full(256, OTHER, np.uint32)
-    lut[:128] = SYMBOL
-    lut[0:33] = SPACE
-    for i in range(26):
-        lut[65 + i] = lut[97 + i] = 1 + i
-    lut[48:58] = DIGIT
-    lut[list(b".,;:!?'\"-()")] = PUNCT
-    return lut
-
-
-_CLASS = _alphabet()
-
-
-def ngram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all 4-grams, a text framed by three edges and one, and the new offsets.
-
-    A text of n bytes gives n + 1 keys; an empty one a single key of edges.
-    """
-    n_docs = len(offsets) - 1
-    size = np.diff(offsets)
-    base = offsets[:-1] + 4 * np.arange(n_docs)
-    seq = np.zeros(len(data) + 4 * n_docs + 3, np.uint32)
-    at = np.arange(len(data)) + np.repeat(base - offsets[:-1] + 3, size)
-    seq[at] = _CLASS[data]
-    k = seq[:-3]
-    k = (k << 15) | (seq[1:-2] << 10) | (seq[2:-1] << 5) | seq[3:]
-    keep = np.ones(len(k), bool)
-    for j in range(1, 4):
-        keep[(base + size + j)] = False
-    return k[keep], offsets + np.arange(n_docs + 1)
-
-
 GRAM, CP_BITS = 5, 21
 TEXT_EDGE = 0x110000
-BLOCK_BYTES = 32 << 20
+#: Raw bytes that a task looks at in one go.
+SLICE_BYTES = 2 << 20
 
 
 @functools.cache
@@ -135,57 +101,136 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray):
     return keys, off + np.arange(n_docs + 1), unpack
 
 
-def _blocked(batches):
-    """Batches with a last column _block; a block is about BLOCK_BYTES of one task's texts."""
-    block, held = 0, BLOCK_BYTES
-    for b in batches:
-        size = sum(b.column(i).nbytes for i in range(b.num_columns))
-        if held + size > BLOCK_BYTES:
-            block, held = int.from_bytes(os.urandom(8), "big") >> 1, 0
-        held += size
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, block, np.int64))], names=[*b.schema.names, "_block"])
+def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The 64-bit hash by which a 5-gram is found."""
+    return mix64(mix64(a.astype(np.uint64)) + b.astype(np.uint64))
+
+
+def _packed(a, b, counts) -> bytes:
+    """5-grams and their counts, compressed: the alphabet, then five rows of places in it, then the counts."""
+    low = (1 << CP_BITS) - 1
+    cps = np.stack([a >> CP_BITS, a & low, b >> 2 * CP_BITS, (b >> CP_BITS) & low, b & low])
+    alphabet, at = np.unique(cps, return_inverse=True)
+    kind = np.min_scalar_type(max(len(alphabet) - 1, 0))
+    many = np.min_scalar_type(int(counts.max()))
+    head = np.array([len(alphabet), len(a), kind.itemsize, many.itemsize], "<i8")
+    body = [head.tobytes(), alphabet.astype("<i4").tobytes(), at.reshape(cps.shape).astype(kind).tobytes(), counts.astype(many).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+
+
+def _unpacked(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n_alpha, n, kind, many = np.frombuffer(data, "<i8", 4).tolist()
+    alphabet = np.frombuffer(data, "<i4", n_alpha, 32).astype(np.int64)
+    at = np.frombuffer(data, f"<u{kind}", GRAM * n, 32 + 4 * n_alpha).reshape(GRAM, n)
+    counts = np.frombuffer(data, f"<u{many}", n, 32 + 4 * n_alpha + GRAM * n * kind).astype(np.int64)
+    c = alphabet[at]
+    return (c[0] << CP_BITS) | c[1], (c[2] << 2 * CP_BITS) | (c[3] << CP_BITS) | c[4], counts
+
+
+def _summed(parts):
+    """(place, a, b, counts...) in order of place, of parts of such columns."""
+    cols = [np.concatenate(x) for x in zip(*parts)]
+    o = np.argsort(cols[0], kind="stable")
+    place = cols[0][o]
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    return [place[first], cols[1][o][first], cols[2][o][first], *(np.add.reduceat(c[o], first) for c in cols[3:])]
 
 
-_GRAMS = ["_block", "a", "b", "c0", "c1"]
+def _ask(shard_bits: int):
+    """A block's texts (_text, _fold, _block) to its requests: (_shard, _block, _fold, grams), a row per shard."""
+
+    def ask(t: pa.Table) -> pa.Table:
+        parts = []
+        data, off = buffers(t.column("_text"))
+        for i, j in blocks(off, SLICE_BYTES):
+            k, _, unpack = gram_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            k.sort()
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            a, b = unpack(k[first])
+            parts.append((_place(a, b), a, b, np.diff(np.r_[first, len(k)])))
+        place, a, b, n = _summed(parts)
+        shard = (place >> np.uint64(64 - shard_bits)).astype(np.int32) if shard_bits else np.zeros(len(place), np.int32)
+        cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+        raw = [_packed(a[s:e], b[s:e], n[s:e]) for s, e in zip(cut[:-1], cut[1:])]
+        rows = len(raw)
+        block, fold = (t.column(c)[0].as_py() for c in ("_block", "_fold"))
+        return pa.table([pa.array(shard[cut[:-1]]), pa.array([block] * rows, pa.int64()), pa.array([fold] * rows, pa.int32()), pa.array(raw, pa.binary())], names=["_shard", "_block", "_fold", "grams"])
+
+    return ask
+
+
+_REQUESTS = "_shard int, _block long, _fold int, grams binary"
 
 
 def _count(batches):
-    """(_block, a, b, c0, c1) of (text, fold, block): the halves' counts of each 5-gram."""
-
-    def rows(block, parts):
-        a, b, c0, c1 = (np.concatenate(x) for x in zip(*parts))
-        if len(parts) > 1:
-            o = np.lexsort((b, a))
-            a, b, c0, c1 = a[o], b[o], c0[o], c1[o]
-            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            a, b, c0, c1 = a[first], b[first], np.add.reduceat(c0, first), np.add.reduceat(c1, first)
+    """(_shard, a, b, c0, c1) summed over requests that come shard by shard."""
+
+    def rows(shard, parts):
+        _, a, b, c0, c1 = _summed(parts)
         for i in range(0, len(a), 1 << 17):
-            cols = [np.full(len(a), block, np.int64), a, b, c0, c1]
-            yield pa.record_batch([c[i : i + (1 << 17)] for c in cols], names=_GRAMS)
+            s = slice(i, i + (1 << 17))
+            yield pa.record_batch([np.full(len(a[s]), shard, np.int32), a[s], b[s], c0[s], c1[s]], names=["_shard", "a", "b", "c0", "c1"])
 
-    held, parts = None, []
+    now, parts, held = None, [], 0
     for batch in batches:
-        of = batch.column(2).to_numpy()
-        data, off = buffers(batch.column(0))
-        fold = batch.column(1).to_numpy()
-        runs = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else np.zeros(1, int)
-        for s, e in zip(runs[:-1], runs[1:]):
-            if of[s] != held and parts:
-                yield from rows(held, parts)
+        for shard, fold, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            if shard != now and parts:
+                yield from rows(now, parts)
+                parts, held = [], 0
+            now = shard
+            a, b, n = _unpacked(raw.as_py())
+            parts.append((_place(a, b), a, b, *(n if f == fold else np.zeros(len(n), np.int64) for f in range(FOLDS))))
+            held += len(a)
+            if held > 1 << 20:
+                parts = [tuple(_summed(parts))]
+                # At least as much again before the next sum.
+                held = -len(parts[0][0])
+    if parts:
+        yield from rows(now, parts)
+
+
+def _store(batches):
+    """A row per shard of entries (_shard, a, b, l0, l1) that come shard by shard: sorted hashes and their log probabilities."""
+
+    def row(shard, parts):
+        place, l0, l1 = (np.concatenate(x) for x in zip(*parts))
+        o = np.argsort(place)
+        return pa.record_batch([pa.array([shard], pa.int32()), *(pa.array([x[o].tobytes()], pa.binary()) for x in (place, l0, l1))], names=["_shard", "hashes", "l0", "l1"])
+
+    now, parts = None, []
+    for b in batches:
+        shard = b.column(0).to_numpy()
+        a, c, l0, l1 = (b.column(i).to_numpy() for i in range(1, 5))
+        cut = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)] if len(shard) else [0]
+        for s, e in zip(cut[:-1], cut[1:]):
+            if shard[s] != now and parts:
+                yield row(now, parts)
                 parts = []
-            held = of[s]
-            for i, j in blocks(off[s : e + 1]):
-                lo, hi = s + i, s + j
-                k, o, unpack = gram_keys(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                half = np.repeat(fold[lo:hi], np.diff(o)) == 1
-                both = np.sort(k)
-                first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-                distinct, n = both[first], np.diff(np.r_[first, len(both)])
-                one = np.sort(k[half])
-                n1 = np.searchsorted(one, distinct, "right") - np.searchsorted(one, distinct)
-                parts.append((*unpack(distinct), n - n1, n1))
+            now = int(shard[s])
+            parts.append((_place(a[s:e], c[s:e]), l0[s:e].astype("<f4"), l1[s:e].astype("<f4")))
     if parts:
-        yield from rows(held, parts)
+        yield row(now, parts)
+
+
+def _answer(batches):
+    """(_block, _shard, logs) from a shard's model (block null, first) and then the requests to it."""
+    hashes = logs = now = None
+    for batch in batches:
+        out = []
+        for shard, block, fold, grams, h, l0, l1 in zip(*(batch.column(i) for i in range(7))):
+            shard = shard.as_py()
+            if not block.is_valid:
+                now, hashes = shard, np.frombuffer(h.as_py(), "<u8")
+                logs = [np.frombuffer(x.as_py(), "<f4") for x in (l0, l1)]
+                continue
+            if shard != now:
+                raise ValueError(f"no model for shard {shard}")
+            a, b, _ = _unpacked(grams.as_py())
+            found = logs[1 - fold.as_py()][np.searchsorted(hashes, _place(a, b))]
+            out.append((block.as_py(), shard, zstandard.ZstdCompressor(level=1).compress(found.tobytes())))
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["_block", "_shard", "logs"])
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -201,76 +246,6 @@ def _cuts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip(d, [0, 0.05, 0.1, 0.15], [0, 0.95, 1.95, 2.95])
 
 
-def entry_hash(order: int, key: np.ndarray) -> np.ndarray:
-    return mix64((np.uint64(order) << np.uint64(32)) | key.astype(np.uint64))
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney from top-order counts (keys sorted, distinct).
-
-    Entries of every order lie in one sorted array of 64-bit hashes, with the log
-    probability after smoothing and, for contexts, the log back-off weight.
-    """
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        size = 1 << BITS
-        levels = {ORDER: (keys.astype(np.int64), counts.astype(np.int64))}
-        for m in range(ORDER - 1, 0, -1):
-            higher = levels[m + 1][0]
-            levels[m] = np.unique(higher & ((1 << (m * BITS)) - 1), return_counts=True)
-        hashes, probs, ctx_hashes, bows = [], [], [], []
-        lower_k, lower_p = np.zeros(1, np.int64), np.array([1.0 / size])
-        for m in range(1, ORDER + 1):
-            k, c = levels[m]
-            if not len(k):
-                break
-            d = _discounts(c)
-            ctx, inv = np.unique(k >> BITS, return_inverse=True)
-            total = np.bincount(inv, c)
-            cut = d[np.minimum(c, 3)]
-            gamma = np.bincount(inv, cut) / total
-            low = k & ((1 << ((m - 1) * BITS)) - 1)
-            p_low = np.full(len(k), 1.0 / size) if m == 1 else lower_p[np.searchsorted(lower_k, low)]
-            p = (c - cut) / total[inv] + gamma[inv] * p_low
-            hashes.append(entry_hash(m, k))
-            probs.append(np.log(p))
-            ctx_hashes.append(entry_hash(m - 1, ctx))
-            bows.append(np.log(gamma))
-            lower_k, lower_p = k, p
-        self.hashes, self.logp = self._sorted(hashes, probs)
-        self.contexts, self.backoff = self._sorted(ctx_hashes, bows)
-
-    @staticmethod
-    def _sorted(h, v):
-        h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        v = np.concatenate(v) if v else np.zeros(0)
-        o = np.argsort(h)
-        return h[o], v[o].astype(np.float32)
-
-    @staticmethod
-    def _find(table, values, h):
-        if not len(table):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
-        i = np.minimum(np.searchsorted(table, h), len(table) - 1)
-        hit = table[i] == h
-        return hit, np.where(hit, values[i], 0).astype(np.float32)
-
-    def log_probs(self, keys: np.ndarray) -> np.ndarray:
-        """Of distinct 4-gram keys: the longest known suffix, after the back-offs of longer contexts."""
-        keys = keys.astype(np.int64)
-        out = np.zeros(len(keys), np.float32)
-        open_ = np.arange(len(keys))
-        for m in range(ORDER, 0, -1):
-            k = keys[open_] & ((1 << (m * BITS)) - 1)
-            hit, lp = self._find(self.hashes, self.logp, entry_hash(m, k))
-            out[open_[hit]] += lp[hit]
-            open_, k = open_[~hit], k[~hit]
-            _, bow = self._find(self.contexts, self.backoff, entry_hash(m - 1, k >> BITS))
-            out[open_] += bow
-        out[open_] -= np.float32(np.log(1 << BITS))
-        return out
-
-
 def _unequal(data, starts, ends, doc, a, b, k: int = 1) -> set[int]:
     """Documents in which the k runs from place a[i] differ from those from b[i], though their hashes agree."""
     raw, found = data.tobytes(), set()
@@ -355,32 +330,31 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 _SCORES = (*(f"_{c}" for c in FEATURES), "_n_bytes", "_nll")
 
 
-def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(mix64(a.astype(np.uint64)) + b.astype(np.uint64))
-
-
 def _scorer(keep: int):
-    """A block's (kept columns..., text, fold, block) and its (block, a, b, l0, l1) to (kept columns..., features, n_bytes, nll)."""
+    """A block's (kept columns..., text, fold, block) and its answers to (kept columns..., features, n_bytes, nll)."""
 
-    def score(texts: pa.Table, grams: pa.Table) -> pa.Table:
-        a, b, l0, l1 = (grams.column(c).to_numpy() for c in ("a", "b", "l0", "l1"))
-        place = _place(a, b)
-        o = np.argsort(place)
-        place, logp = place[o], np.array([l0[o], l1[o]])
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        shard = answers.column("_shard").to_numpy()
+        raw = answers.column("logs").to_pylist()
+        logp = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[i]), "<f4") for i in np.argsort(shard)])
         data, off = buffers(texts.column(keep))
-        fold = texts.column(keep + 1).to_numpy()
         cols = {c: [np.zeros(0)] for c in (*FEATURES, "n_bytes", "nll")}
-        for i, j in blocks(off):
+        seen = []
+        for i, j in blocks(off, SLICE_BYTES):
             d, p = data[off[i] : off[j]], off[i : j + 1] - off[i]
             for c, v in base_features(d, p).items():
                 cols[c].append(v)
-            k, ko, unpack = gram_keys(d, p)
-            lens = np.diff(ko)
-            distinct = np.unique(k)
-            known = logp[:, np.searchsorted(place, _place(*unpack(distinct)))]
-            lp = known[np.repeat(1 - fold[i:j], lens), np.searchsorted(distinct, k)]
-            cols["nll"].append(-np.add.reduceat(lp, ko[:-1]) / lens)
             cols["n_bytes"].append(np.diff(p))
+            k, ko, unpack = gram_keys(d, p)
+            distinct, which = np.unique(k, return_inverse=True)
+            seen.append((_place(*unpack(distinct)), which.astype(np.int32), ko[:-1]))
+        # The request was in order of hash, and so is the answer.
+        place = np.unique(np.concatenate([x[0] for x in seen]))
+        if len(place) != len(logp):
+            raise ValueError("an answer doesn't fit its request")
+        for (own, which, at), n in zip(seen, cols["n_words"][1:]):
+            total = np.add.reduceat(logp[np.searchsorted(place, own)].astype(float)[which], at)
+            cols["nll"].append(-total / np.maximum(n, 1))
         arrays = {c: np.concatenate(v) for c, v in cols.items()}
         found = [*(arrays[c].astype(np.int64) for c in (*FEATURES, "n_bytes")), arrays["nll"]]
         names = [*texts.column_names[:keep], *_SCORES]
@@ -398,17 +372,18 @@ def _suffix(m: int) -> list:
 def fit_model(grams: DataFrame) -> DataFrame:
     """(a, b, l0, l1): the log probability of every 5-gram's last code point under each half's model.
 
-    ``grams`` has the halves' counts c0 and c1. A lower order counts the distinct
-    n-grams that it ends; unseen continuations get what the discounts leave, by the
-    lower order. At the bottom all code points seen, and one for the rest, are equal.
+    ``grams`` (a, b, c0, c1) has the halves' counts of each 5-gram. A lower order
+    counts the distinct n-grams that it ends; unseen continuations get what the
+    discounts leave, by the lower order. At the bottom all code points seen, and one
+    for the rest, are equal.
     """
-    levels = {GRAM: materialize(grams.groupBy("a", "b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "quality-5-grams")}
+    levels = {GRAM: grams}
     for m in range(GRAM, 1, -1):
         ends = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("c0", "c1")]
         levels[m - 1] = materialize(levels[m].groupBy(*_suffix(m)).agg(*ends), f"quality-{m - 1}-grams")
     lower = None
     for m in range(1, GRAM + 1):
-        rows = levels[m]
+        rows = levels[m].select("a", "b", "c0", "c1")
         few = [F.sum((F.col(c) == i).cast("long")) for c in ("c0", "c1") for i in (1, 2, 3, 4)]
         *n, total = (x or 0 for x in rows.agg(*few, F.count(F.lit(1))).first())  # one row
         if lower is None:
@@ -433,18 +408,29 @@ def _fold(text):
 def score_rows(docs: DataFrame, keep: list, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` and each text's features, n_bytes and nll, names led by an underscore.
 
-    nll is the mean negative log probability of a text's code points (log perplexity)
-    under the model of the other half. A null text counts as empty.
+    nll is the negative log probability of a text per word (log perplexity) under
+    the model of the other half. A null text counts as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, text.alias("_text"), _fold(text).alias("_fold"))
+    rows = docs.select(*keep, text.alias("_text"), _fold(text).alias("_kind"))
     kept = rows.schema.fields[: len(keep)]
-    rows = materialize(rows.mapInArrow(_blocked, T.StructType([*rows.schema.fields, T.StructField("_block", T.LongType())])), "quality-texts")
-    grams = rows.select("_text", "_fold", "_block").mapInArrow(_count, ", ".join(f"{c} long" for c in _GRAMS))
-    grams = materialize(grams, "quality-grams")
-    found = grams.select("_block", "a", "b").join(fit_model(grams), ["a", "b"]).select("_block", "a", "b", "l0", "l1")
+    rows, size = store_blocks(rows, FOLDS)
+    # As many shards as keep both a shard's entries and a block's requests to it neither few nor many.
+    shard_bits = max(0, math.ceil(math.log2(max(size, 1) / (1 << 20)) / 2)) if size > 1 << 20 else 0
+    asked = materialize(rows.select("_text", F.col("_kind").alias("_fold"), "_block").groupBy("_block").applyInArrow(_ask(shard_bits), _REQUESTS), "quality-requests")
+
+    counts = asked.repartition("_shard").sortWithinPartitions("_shard").mapInArrow(_count, "_shard int, a long, b long, c0 long, c1 long")
+    counts = materialize(counts, "quality-5-grams")
+    entries = fit_model(counts).join(counts.select("_shard", "a", "b"), ["a", "b"]).select("_shard", "a", "b", "l0", "l1")
+    shards = entries.repartition("_shard").sortWithinPartitions("_shard").mapInArrow(_store, "_shard int, hashes binary, l0 binary, l1 binary")
+    shards = materialize(shards, "quality-model")
+
+    both = shards.select("_shard", F.lit(None).cast("long").alias("_block"), F.lit(None).cast("int").alias("_fold"), F.lit(None).cast("binary").alias("grams"), "hashes", "l0", "l1")
+    both = both.unionByName(asked, allowMissingColumns=True)
+    answers = both.repartition("_shard").sortWithinPartitions("_shard", F.asc_nulls_first("_block")).mapInArrow(_answer, "_block long, _shard int, logs binary")
+
     more = [T.StructField(c, T.DoubleType() if c == "_nll" else T.LongType()) for c in _SCORES]
-    groups = rows.groupBy("_block").cogroup(found.groupBy("_block"))
+    groups = rows.groupBy("_block").cogroup(answers.groupBy("_block"))
     return groups.applyInArrow(_scorer(len(keep)), T.StructType([*kept, *more]))
 
 
@@ -469,7 +455,7 @@ def _inside(width: float, floor: float, short_bytes: int):
 
 
 #: Bands: robust deviations, least half-width, and the length below which they widen.
-WIDTH, FLOOR, SHORT = 8.0, 0.15, 800
+WIDTH, FLOOR, SHORT = 5.0, 0.5, 800
 MIN_WORDS, MAX_REPEAT = 10, 20
 
 
@@ -488,7 +474,7 @@ def quality_rules(
 
     The base fails texts of fewer than ``min_words`` words or with more than
     ``max_repeat_percent`` of their words in repeated 5-word windows. A language's
-    band is its median log perplexity plus and minus ``width`` robust deviations
+    band is its median log perplexity per word plus and minus ``width`` robust deviations
     (1.4826 times the median absolute deviation), at least ``floor``; for a text
     of n bytes the band is wider by sqrt(1 + short_bytes / n), as short texts
     scatter more. Band statistics come from all documents that pass the base;

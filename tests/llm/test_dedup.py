@@ -201,6 +201,7 @@ def test_substring_random_passages(spark):
         rows.append((rng.randint(0, 60), " ".join(parts)))
     rows += [(99, "same " * 40), (98, "same " * 30), (97, "same " * 12)]
     assert rows_of(substring.substring_dedup(table(spark, rows))) == substring_plain(rows)
+    assert rows_of(substring.substring_dedup(table(spark, rows), hot_rows=0)) == substring_plain(rows)
 
 
 def thue_morse(n=2048):

@@ -45,44 +45,6 @@ def test_quality_base_rules(spark):
     assert quality.quality_rules(table(spark, [])).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(3)
-    data = rng.choice(np.frombuffer(b"abc .,1", np.uint8), 3000)
-    keys, _ = quality.ngram_keys(data, np.array([0, 1000, 1000, 3000]))
-    k, c = np.unique(keys, return_counts=True)
-    model = quality.KneserNey(k, c)
-    for context in (*np.unique(k >> quality.BITS)[:40], 12345, 0):
-        p = np.exp(model.log_probs(np.array([(int(context) << quality.BITS) | s for s in range(32)])).astype(float))
-        assert p.sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_kneser_ney_against_a_plain_model():
-    data = np.frombuffer(b"the cat sat on the mat, the cat ate the rat. " * 3 + b"a bat", np.uint8)
-    keys, _ = quality.ngram_keys(data, np.array([0, len(data)]))
-    k, c = np.unique(keys, return_counts=True)
-    model, size = quality.KneserNey(k, c), 1 << quality.BITS
-    level = {4: {int(a): int(b) for a, b in zip(k, c)}}
-    for m in (3, 2, 1):
-        level[m] = Counter(x & ((1 << (5 * m)) - 1) for x in level[m + 1])
-    cut = {m: quality._discounts(np.array(list(level[m].values()))) for m in level}
-
-    def prob(m, key):
-        if m == 0:
-            return 1 / size
-        mine = {x: n for x, n in level[m].items() if x >> 5 == key >> 5}
-        lower = prob(m - 1, key & ((1 << (5 * (m - 1))) - 1))
-        if not mine:
-            return lower
-        total = sum(mine.values())
-        gamma = sum(cut[m][min(n, 3)] for n in mine.values()) / total
-        n = mine.get(key, 0)
-        return max(n - cut[m][min(n, 3)], 0) / total + gamma * lower
-
-    some = [*map(int, k[:50]), 77, 1 << 19, (1 << 20) - 1]
-    want = [math.log(prob(4, x)) for x in some]
-    assert model.log_probs(np.array(some)) == pytest.approx(want, abs=1e-4)
-
-
 def test_quality_bands_reject_noise_and_keep_prose(spark):
     rng = random.Random(4)
     syllables = ["an", "the", "ing", "er", "on", "es", "re", "st"]
