@@ -75,7 +75,12 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay."""
+    """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay.
+
+    Of rows that repeat the kept id along with its text, one stays, whichever it is if
+    their other columns differ. A null text equals an empty one, a null id is smaller
+    than any other; an empty table gives an empty result.
+    """
     marks = materialize(exact_dedup(docs, id_col, text_col), "exact-marks")
     gone = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     repeated = not is_empty(marks.groupBy("doc_id").count().where("count > 1 or doc_id is null"))

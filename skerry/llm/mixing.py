@@ -90,7 +90,12 @@ def draw_copies(docs: DataFrame, seed: int = 17, max_repeat: int = 3, id_col: st
 
 
 def mix(docs: DataFrame, seed: int = 17, max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; all columns stay."""
+    """``docs`` with each row repeated as often as the mix takes it; all columns stay.
+
+    Null and empty texts have no words and are repeated like others of their source; a
+    null source is one of its own, the last; rows that repeat an id are drawn alike,
+    rows with a null id by their text; an empty table gives an empty result.
+    """
     text = F.col(text_col)
     targets = materialize(source_targets(docs.select(F.col(source_col).alias("source"), count_words(text).alias("size")), max_repeat), "mix-targets")
     key, rate, copy = (fresh(docs, n) for n in ("_key", "_rate", "_copy"))

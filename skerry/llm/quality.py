@@ -416,7 +416,7 @@ def score_rows(docs: DataFrame, keep: list, text_col: str = "text") -> DataFrame
     kept = rows.schema.fields[: len(keep)]
     rows, size = store_blocks(rows, FOLDS)
     # As many shards as keep both a shard's entries and a block's requests to it neither few nor many.
-    shard_bits = max(0, math.ceil(math.log2(max(size, 1) / (1 << 20)) / 2)) if size > 1 << 20 else 0
+    shard_bits = min(13, max(0, math.ceil(math.log2(max(size, 1) / (1 << 20)) / 2) + 1))
     asked = materialize(rows.select("_text", F.col("_kind").alias("_fold"), "_block").groupBy("_block").applyInArrow(_ask(shard_bits), _REQUESTS), "quality-requests")
 
     counts = asked.repartition("_shard").sortWithinPartitions("_shard").mapInArrow(_count, "_shard int, a long, b long, c0 long, c1 long")
@@ -495,7 +495,8 @@ def quality_rules(
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows that ``quality_rules`` rejects; all columns stay.
 
-    The scored rows are written once, for the bands and for the result; ids need not
+    Null and empty texts have no words and go; a null language is a language of its
+    own; repeated rows are judged alike; an empty table gives an empty result. The scored rows are written once, for the bands and for the result; ids need not
     tell rows apart.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}

@@ -198,7 +198,6 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 40_000,
-    max_tokens: int = 1 << 16,
     prior: float = 500.0,
     min_z: float = 3.0,
     drift: float = 0.25,
@@ -206,7 +205,8 @@ def fit_toxicity(
     """Fit on a bounded sample: the ``max_rows`` labelled ids of smallest hash.
 
     Three quarters of the sample give the log-odds, the last quarter the
-    calibration. The model keeps the ``max_tokens`` clearest tokens. Rows with a
+    calibration. The model keeps every token of the sample that is clear of its
+    variance; the sample's bound is the model's. Rows with a
     null id or label are unused; an id labelled twice counts as toxic if any label
     says so; exact copies of a text count once. With no texts of one of the
     classes, the model finds nothing and its score is that of the labels' majority.
@@ -214,15 +214,19 @@ def fit_toxicity(
     spark = texts.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_toxic"))
-    known = known.orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(max_rows)
+    n = known.count()
+    if n > max_rows:
+        # Only about max_rows ids, those under a threshold, are sorted; six deviations make sure of enough.
+        share = min(1.0, (max_rows + 6 * math.sqrt(max_rows)) / n)
+        known = known.where(F.shiftrightunsigned(F.xxhash64("_id", F.lit(7)), 1) < F.lit(int(share * (1 << 63)) if share < 1 else (1 << 63) - 1))
+        known = known.orderBy(F.shiftrightunsigned(F.xxhash64("_id", F.lit(7)), 1), "_id").limit(max_rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = texts.select(F.col(id_col).alias("_id"), text.alias("text")).join(F.broadcast(known), "_id")  # at most max_rows ids
     # The sample is written once, so that the corpus is read for it only once.
     rows = materialize(rows.withColumn("_part", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(4))), "toxic-sample")
     fit = rows.where("_part <> 0").groupBy("text").agg(F.max("_toxic").alias("toxic"))
     counts = fit.mapInArrow(_count, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # Only tokens with several toxic uses can be clear of their variance.
-    counts = counts.where("h = 0 or t >= 3")
+    counts = materialize(counts, "toxic-counts")
     total = counts.where("h = 0").first()
     nothing = ToxicityModel(np.zeros(0, U64), np.zeros(0, np.float32), drift, 1.0, 1.0, -10.0)
     if total is None or not total.t or not total.c:
@@ -238,7 +242,7 @@ def fit_toxicity(
     clear = counts.where("h <> 0").withColumn("delta", odds(F.col("t"), nt) - odds(F.col("c"), nc))
     clear = clear.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("t") + alpha) + 1 / (F.col("c") + alpha)))
     # Over-counting of the commonest words cannot give a passage; a token must be several times likelier.
-    clear = clear.where(f"z >= {min_z} and delta >= 1.5").orderBy(F.desc("z"), "h").limit(max_tokens).select("h", "t", "c", "delta").toArrow()
+    clear = clear.where(f"z >= {min_z} and delta >= 1.5").select("h", "t", "c", "delta").toArrow()  # at most the sample's tokens
     if not clear.num_rows:
         return nothing
     h, c, delta = (clear.column(i).to_numpy() for i in ("h", "c", "delta"))

@@ -1,7 +1,9 @@
 """WARC archives with dictionary compression, written and read through Spark.
 
-An archive is one task's output file: a leading skippable frame that holds a
-Zstandard dictionary trained on the archive's own records, then a frame per record.
+An archive is an output file: a leading skippable frame that holds a Zstandard
+dictionary trained on all of the archive's own records, then a frame per record. A
+task rolls its archives by size. The writer rolls files by the number of rows, so an
+archive that another one follows is filled up with empty skippable frames.
 Archives leave through Spark's text writer and its commit protocol, so they reach
 any file system Spark writes to and a task that runs twice leaves one archive. The
 writer ends every row with the line separator, for which an empty skippable frame
@@ -76,41 +78,29 @@ def dictionary_frame(dictionary: zstandard.ZstdCompressionDict) -> bytes:
     return DICTIONARY_MAGIC.to_bytes(4, "little") + len(body).to_bytes(4, "little") + body
 
 
-def _frames(level: int, dict_size: int, train_bytes: int, date: str):
-    def archive(batches):
-        held, size, comp = [], 0, None
-
-        def start():
-            found = train(held, dict_size)
-            out = [] if found is None else [dictionary_frame(found)]
-            c = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True, **({} if found is None else {"dict_data": found}))
-            return c, out + [c.compress(_info(date))]
-
-        def batch(frames):
-            return pa.record_batch([pa.array(frames, pa.binary())], names=["frame"])
+def _frames(level: int, dict_size: int, archive_bytes: int, slots: int, date: str):
+    def archive(records: list[bytes], last: bool):
+        found = train(records, dict_size)
+        c = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True, **({} if found is None else {"dict_data": found}))
+        out = ([] if found is None else [dictionary_frame(found)]) + [c.compress(x) for x in (_info(date), *records)]
+        out += [FILLER.encode()] * (0 if last else slots - len(out))
+        for i in range(0, len(out), 1 << 12):
+            yield pa.record_batch([pa.array(out[i : i + (1 << 12)], pa.binary())], names=["frame"])
 
+    def frames(batches):
+        held, size = [], 0
         for b in batches:
-            ids, urls, html, digest, refers = (b.column(i).to_pylist() for i in range(5))
-            out = []
-            for p, u, h, d, r in zip(ids, urls, html, digest, refers):
-                rec = make_record(p, u, h, d, r, r is not None and p != r, date)
-                if comp is None:
-                    held.append(rec)
-                    size += len(rec)
-                    if size < train_bytes:
-                        continue
-                    comp, out = start()
-                    out += [comp.compress(x) for x in held]
-                    held = []
-                else:
-                    out.append(comp.compress(rec))
-            if out:
-                yield batch(out)
+            for p, u, h, d, r in zip(*(b.column(i).to_pylist() for i in range(5))):
+                # Closed only when another record follows; two frames aren't records.
+                if held and (size >= archive_bytes or len(held) == slots - 2):
+                    yield from archive(held, False)
+                    held, size = [], 0
+                held.append(make_record(p, u, h, d, r, r is not None and p != r, date))
+                size += len(held[-1])
         if held:
-            comp, out = start()
-            yield batch(out + [comp.compress(x) for x in held])
+            yield from archive(held, True)
 
-    return archive
+    return frames
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -131,7 +121,8 @@ def write_warc(
     html_col: str = "html",
     level: int = 6,
     dict_size: int = 1 << 16,
-    train_bytes: int = 1 << 25,
+    archive_bytes: int = 1 << 26,
+    slots: int = 1 << 14,
     date: str = "1970-01-01T00:00:00Z",
 ) -> None:
     """Write a record per row of ``pages`` to archives under ``path``.
@@ -141,12 +132,12 @@ def write_warc(
     html is an empty payload. A row with a null id carries no id and is a revisit
     wherever its payload has a response with one. Rows that repeat the response's id
     along with its payload are responses too. An empty table writes no record.
-    Dictionaries are trained on an archive's records, of larger archives on its
-    first ``train_bytes``; that bears on size alone.
+    An archive ends with the record that brings it to ``archive_bytes`` before
+    compression, or at ``slots`` frames; its dictionary is trained on all its records.
     """
     rows = plan_records(pages, id_col, url_col, html_col)
-    frames = rows.mapInArrow(_frames(level, dict_size, train_bytes, date), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", FILLER).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
+    frames = rows.mapInArrow(_frames(level, dict_size, archive_bytes, slots, date), "frame binary")
+    frames.select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", FILLER).option("compression", "none").option("maxRecordsPerFile", slots).text(path)
 
 
 def frame_end(data: memoryview, at: int) -> int:

@@ -1,5 +1,6 @@
 """Registered queries against SQL and against plain versions, and the pipeline."""
 
+import math
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -7,17 +8,19 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skerry.llm import queries
 from skerry.llm.common import shared_dir, table
-from skerry.llm.quality import quality_rules
+from skerry.llm.quality import _cuts, quality_rules
 from skerry.llm.tokens import engine, tokenizer_path
 
 from .helpers import ODD, lower_ascii, words
 from .helpers import table as small_table
 from .test_dedup import fingerprint_plain, groups_plain, substring_plain
 from .test_packing import best_fit_plain, plain_ids
+from .test_scoring import base_plain
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +65,56 @@ def test_toxicity_query(spark, small):
     assert sum(got[i].predicted == y for i, y in labels.items()) / len(labels) > 0.85
 
 
+def perplexity_plain(texts, halves):
+    """Negative log probability of each text per word, by a dictionary of 5-grams of the other half's code points."""
+    fold = lambda t: "".join("0" if c in "0123456789" else " " if c in "\t\n\x0b\x0c\r" else c.lower() if len(c.lower()) == 1 else c for c in t)
+    framed = ["\x00" * 4 + fold(t).replace("\x00", "\x01") + "\x00" for t in texts]
+    level = [{5: Counter()}, {5: Counter()}]
+    for t, h in zip(framed, halves):
+        level[h][5].update(t[i : i + 5] for i in range(len(t) - 4))
+    size = len({g[-1] for h in (0, 1) for g in level[h][5]}) + 1
+    cut, seen, left = [{}, {}], [defaultdict(int), defaultdict(int)], [defaultdict(float), defaultdict(float)]
+    for h in (0, 1):
+        for m in (4, 3, 2, 1):
+            level[h][m] = Counter(g[1:] for g in level[h][m + 1])
+        for m in range(1, 6):
+            cut[h][m] = _cuts(*(sum(n == i for n in level[h][m].values()) for i in (1, 2, 3, 4)))
+            for g, n in level[h][m].items():
+                seen[h][g[:-1]] += n
+                left[h][g[:-1]] += cut[h][m][min(n, 3)]
+    known = [{"": 1 / size}, {"": 1 / size}]
+
+    def prob(h, g):
+        if g not in known[h]:
+            lower, n = prob(h, g[1:]), level[h][len(g)].get(g, 0)
+            known[h][g] = (n - cut[h][len(g)][min(n, 3)] + left[h][g[:-1]] * lower) / seen[h][g[:-1]] if seen[h][g[:-1]] else lower
+        return known[h][g]
+
+    return [-sum(math.log(prob(1 - h, t[i : i + 5])) for i in range(len(t) - 4)) / max(len(words(x)), 1) for x, t, h in zip(texts, framed, halves)]
+
+
+def test_quality_query_against_a_plain_model(spark, small):
+    rows = table(spark, small, "documents").select("doc_id", "text", "lang", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()
+    nll = perplexity_plain([r.text for r in rows], [r.half for r in rows])
+    got = {r.doc_id: r for r in queries.op10_quality_perplexity(spark, small).collect()}
+    assert len(got) == len(rows)
+    passed = defaultdict(list)
+    for r, x in zip(rows, nll):
+        assert got[r.doc_id].nll == pytest.approx(x, rel=1e-5)
+        failed = base_plain(r.text)[-1]
+        assert got[r.doc_id].base_failed == failed
+        if not failed:
+            passed[r.lang].append(x)
+    middle = lambda v: sorted(v)[-(-len(v) // 2) - 1]
+    center = {k: middle(v) for k, v in passed.items()}
+    reach = {k: max(5 * 1.4826 * middle([abs(x - center[k]) for x in v]), 0.5) for k, v in passed.items()}
+    for r, x in zip(rows, nll):
+        off = abs(x - center[r.lang]) / (reach[r.lang] * math.sqrt(1 + 800 / max(len(r.text.encode()), 1)))
+        if abs(off - 1) > 1e-3:
+            assert got[r.doc_id].kept == (off < 1 and not got[r.doc_id].base_failed)
+    assert sum(not g.kept and not g.base_failed for g in got.values()) > 0
+
+
 def test_packing_queries_are_whole(spark, small):
     """Pieces, checksums and the number of sequences, from the tokenizer itself."""
     docs = table(spark, small, "documents").collect()

@@ -209,23 +209,26 @@ def pages_plain(pages):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("train_bytes", [1 << 25, 500])
-def test_warc_round_trip(spark, tmp_path, train_bytes):
+@pytest.mark.parametrize("limits", [{}, {"archive_bytes": 500}, {"slots": 4}])
+def test_warc_round_trip(spark, tmp_path, limits):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(2)
     path = f"file://{tmp_path}/w"
-    warc.write_warc(df, path, train_bytes=train_bytes)
+    warc.write_warc(df, path, **limits)
     got = warc.read_warc(spark, path, with_payload=True).collect()
     cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert sorted((tuple(r[c] for c in cols) for r in got), key=str) == pages_plain(PAGES)
     html = {r[0]: (r[2] or "").encode() for r in PAGES}
     assert all(bytes(r.payload) == html[r.page_id] for r in got if r.record_type == "response")
+    parts = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-") and p.stat().st_size]
+    assert len(parts) > 2 if limits else len(parts) <= 2
+    assert all(next(warc.read_frames(p.read_bytes())).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for p in parts)
     warc.write_warc(df.limit(0), path)
     assert warc.read_warc(spark, path).count() == 0
 
 
 def test_archive_layout(spark, small, tmp_path):
     path = str(tmp_path / "w")
-    warc.write_warc(read(spark, small, "pages"), path)
+    warc.write_warc(read(spark, small, "pages").coalesce(1), path)
     part = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-") and p.stat().st_size)
     data = part.read_bytes()
     assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
