@@ -6,6 +6,7 @@ A query text passes through normalisation, tokens, entities, expansion and inten
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..options import DAY_MS
 from . import lexicon as L
-from .text import strip_marks
+from .text import strip_marks, white_tokens
 
 ENTITY = "struct<text:string,type:string,value_str:string,value_num:bigint,confidence:double>"
 TOKEN = "struct<text:string,token_id:int,is_stopword:boolean,is_punctuation:boolean,importance:double>"
@@ -227,3 +228,23 @@ def understand(queries: DataFrame, as_of_ms: int, vocab: Column | None = None, t
             "dense_query": dense_query(F.col("original_terms"), F.col("expansions")),
         }
     )
+
+
+def degraded(queries: DataFrame, text_col: str = "text") -> DataFrame:
+    """What ``understand`` adds, without understanding: the lower-cased raw query wherever a text is asked for."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    known = understand(queries.withColumn(text_col, F.lit("").cast("string")), 0, text_col=text_col)
+    kept = {c: known.schema[c].dataType for c in known.columns if c not in queries.columns}
+    plain = {"normalized": low, "key_terms": white_tokens(low), "original_terms": white_tokens(low), "bm25_query": low, "dense_query": low}
+    guess = F.struct(F.lit("EXPLORATION").alias("intent"), F.lit(0.5).cast("float").alias("confidence"), F.lit("fallback").alias("reasoning"))
+    empty = {c: F.array().cast(t) if t.typeName() == "array" else F.lit(None).cast(t) for c, t in kept.items()}
+    return queries.withColumns({**empty, **plain, "intent": guess})
+
+
+def understand_or_degrade(queries: DataFrame, as_of_ms: int, text_col: str = "text", **more) -> DataFrame:
+    """``understand``, or its degraded form where the processing can't be set up (say, with a broken vocabulary)."""
+    try:
+        return understand(queries, as_of_ms, text_col=text_col, **more)
+    except Exception as e:
+        warnings.warn(f"queries are taken as they are: {e}", stacklevel=2)
+        return degraded(queries, text_col)

@@ -44,7 +44,9 @@ def white_tokens(text: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Maximal runs of letters and digits, lower-cased and without marks."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # Texts of ASCII alone, as many bytes as characters, have no marks.
+    folded = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
     return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 

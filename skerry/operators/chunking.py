@@ -12,6 +12,16 @@ from ..options import DEFAULTS, SearchOptions
 IDS_PER_FILE = 100_000
 
 
+#: Inputs of up to so many bytes may lie in a single row group, which a single task would read.
+SMALL_BYTES = 64 << 20
+
+
+def spread(rows: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """``rows`` dealt to all cores if they are few bytes; larger inputs come in enough splits as they are."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= limit else rows
+
+
 def chunk_documents(docs: DataFrame, options: SearchOptions = DEFAULTS, id_col: str = "id", text_col: str = "text", hashed_ids: bool = False) -> DataFrame:
     """(chunk_id, parent_file_id, chunk_index, text, start_offset, end_offset) of every window.
 
@@ -19,7 +29,8 @@ def chunk_documents(docs: DataFrame, options: SearchOptions = DEFAULTS, id_col:
     the one before; offsets count tokens. A text without tokens has no chunk. With
     ``hashed_ids``, for parents whose ids are hashes themselves, chunk ids are too.
     """
-    rows = docs.select(F.col(id_col).alias("parent_file_id"), white_tokens(F.col(text_col)).alias("tk"))
+    rows = spread(docs.select(F.col(id_col).alias("parent_file_id"), F.col(text_col).alias("text")))
+    rows = rows.select("parent_file_id", white_tokens(F.col("text")).alias("tk"))
     rows = rows.where(F.size("tk") > 0).select("parent_file_id", "tk", F.posexplode(F.sequence(F.lit(0), F.size("tk") - 1, F.lit(options.step))).alias("chunk_index", "at"))
     return rows.select(
         (F.xxhash64("parent_file_id", "chunk_index") if hashed_ids else F.col("parent_file_id") * IDS_PER_FILE + F.col("chunk_index")).alias("chunk_id"),

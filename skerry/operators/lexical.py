@@ -67,6 +67,25 @@ def phrases(queries: DataFrame, text_col: str = "text") -> DataFrame:
     return tokens.select("query_id", "phrase", word_tokens(F.col("token")).alias("words"))
 
 
+def only_terms(positions: DataFrame, words: DataFrame, most: int = 256) -> DataFrame:
+    """Positions whose term begins like some token, if there are at most ``most`` tokens; all of them otherwise.
+
+    The prefixes are literals of the plan, so they reach the scan: of positions laid out
+    by term, files and row groups without a fitting term aren't read.
+    """
+    found = sorted(r.token for r in words.select("token").distinct().limit(most + 1).collect())  # at most most + 1 tokens
+    if len(found) > most:
+        return positions
+    heads: list[str] = []
+    for token in found:
+        if not heads or not token.startswith(heads[-1]):
+            heads.append(token)
+    fits = F.lit(False)
+    for token in heads:
+        fits = fits | F.col("term").startswith(token)
+    return positions.where(fits)
+
+
 def phrase_counts(queries: DataFrame, positions: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(query_id, phrase, chunk_id, f, dl): how often each phrase occurs in each chunk; and each query's number of phrases.
 
@@ -77,6 +96,7 @@ def phrase_counts(queries: DataFrame, positions: DataFrame, text_col: str = "tex
     needed = ph.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_phrases"))
     words = ph.select("query_id", "phrase", F.size("words").alias("m"), F.posexplode("words").alias("off", "token"))
     words = words.withColumn("is_prefix", F.col("off") == F.col("m") - 1)
+    positions = only_terms(positions, words)
     # Terms and tokens meet on as many first letters as the shortest token has.
     head = words.agg(F.coalesce(F.min(F.length("token")), F.lit(1)).alias("n"))
     words = words.crossJoin(F.broadcast(head)).withColumn("head", F.substring("token", F.lit(1), F.col("n"))).drop("n")

@@ -25,6 +25,22 @@ def z_score(x: Column, *keys: str) -> Column:
     return F.when(sd > 0, (x - F.avg(x).over(w)) / sd).otherwise(F.lit(0.0))
 
 
+def normalized(df: DataFrame, x: str, key: str, out: str, kind: str = "min_max") -> DataFrame:
+    """``df`` with ``min_max`` or ``z_score`` of column x within the key, for groups of any size.
+
+    The groups' figures are partial aggregates that are joined back, so that a group
+    that holds most rows isn't gathered in one task.
+    """
+    if kind == "min_max":
+        stats = (F.min(x).alias("_p"), (F.max(x) - F.min(x)).alias("_q"))
+    else:
+        stats = (F.avg(x).alias("_p"), F.stddev_pop(x).alias("_q"))
+    per = df.groupBy(F.col(key).alias("_key")).agg(*stats)
+    rows = df.join(per, F.col(key).eqNullSafe(F.col("_key")), "left")
+    flat = F.lit(0.5 if kind == "min_max" else 0.0)
+    return rows.withColumn(out, F.when(F.col("_q") > 0, (F.col(x) - F.col("_p")) / F.col("_q")).otherwise(flat)).drop("_key", "_p", "_q")
+
+
 def recency(modified_at: Column, as_of_ms: int) -> Column:
     age = F.greatest(F.lit(0), F.lit(as_of_ms) - modified_at) / F.lit(float(DAY_MS))
     return F.exp(-age / 30.0)
@@ -58,26 +74,31 @@ def fuse(candidates: DataFrame, queries: DataFrame, as_of_ms: int, text_col: str
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.asc("id"))))
 
 
-def reciprocal_ranks(lists: list[DataFrame], k: int = 60, limit: int = 25) -> DataFrame:
-    """(query_id, id, score, rank): sums of 1 / (k + rank) over ranked lists (query_id, id, rank)."""
-    rows = lists[0].select("query_id", "id", "rank")
-    for other in lists[1:]:
-        rows = rows.unionByName(other.select("query_id", "id", "rank"))
-    sums = rows.groupBy("query_id", "id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"))
+def reciprocal_ranks(lists: list[DataFrame], k: int = 60, limit: int = 25, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score, rank): sums of 1 / (k + rank) over ranked lists (query_id, id, rank).
+
+    ``attributes`` are carried along; where several lists have a result, the last one's count.
+    """
+    cols = ["query_id", "id", "rank", *attributes]
+    rows = lists[0].select(*cols, F.lit(0).alias("_list"))
+    for i, other in enumerate(lists[1:], 1):
+        rows = rows.unionByName(other.select(*cols, F.lit(i).alias("_list")))
+    carried = [F.max_by(c, "_list").alias(c) for c in attributes]
+    sums = rows.groupBy("query_id", "id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), *carried)
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
     return ranked.where(F.col("rank") <= limit)
 
 
-def mmr(ranked: DataFrame, weight: float = 0.7, limit: int = 20, clamped: bool = False, pool: int = 300) -> DataFrame:
+def mmr(ranked: DataFrame, weight: float = 0.7, limit: int = 20, clamped: bool = False) -> DataFrame:
     """Greedy diversification of (query_id, id, score, rank, embedding): adds place, from 1.
 
     Each step takes the candidate with the largest weight * score - (1 - weight) * the
     largest cosine to those taken; earlier ranks win ties. A missing or mismatched
     vector has cosine 0. ``clamped`` is the variant whose similarity is never below 0
     and that passes over candidates without a vector, but for the first. A query's
-    candidates are the ranked lists' heads, ``pool`` at most, so a group is small.
+    candidates are what the limits of the ranked lists let through; all of them count.
     """
-    rows = ranked.where(F.col("rank") <= pool)
+    rows = ranked
 
     def run(pdf):
         import numpy as np
@@ -127,6 +148,17 @@ def rerank(ranked: DataFrame, scorer: Column | None, considered: int = 100, retu
     return top.withColumn("rank", again).where(F.col("rank") <= returned)
 
 
+def score_once(rows: DataFrame, scorer: Column, query_col: str = "_q", out: str = "pair_score") -> DataFrame:
+    """``rows`` with a pair score that is computed once per query text, whatever its case, and id.
+
+    For scorers dearer than a join: the pairs are made distinct before they are scored.
+    """
+    keys = [F.lower(F.col(query_col)).alias("_pair_q"), F.col("id").alias("_pair_id")]
+    rows = rows.select("*", *keys)
+    scores = rows.dropDuplicates(["_pair_q", "_pair_id"]).select("_pair_q", "_pair_id", scorer.alias(out))
+    return rows.join(scores, ["_pair_q", "_pair_id"]).drop("_pair_q", "_pair_id")
+
+
 def skip_dense(sparse: DataFrame, min_files: int = 50, min_score: float = 0.85) -> DataFrame:
     """(query_id, files, top_score, skipped): whether the sparse results make the dense search needless."""
     s = sparse.groupBy("query_id").agg(F.count(F.lit(1)).alias("files"), F.max("score").alias("top_score"))

@@ -1,7 +1,8 @@
 """Vector search: exact, locality-sensitive hashing, inverted cells, encoders.
 
-Query vectors are a stated set that is sent to all tasks; data vectors are met in
-Arrow batches by matrix products, and each task hands on only its best k per query.
+Query vectors are a stated set. Up to a block of them is sent to all tasks; more are
+dealt in blocks to groups of the data vectors. The two meet in Arrow batches by matrix
+products, and each task hands on only its best k per query.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import sys
 from dataclasses import asdict, dataclass, replace
 from statistics import NormalDist
 
@@ -20,8 +22,10 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import fit_dim
 
-#: Query vectors are sent along up to this many; more are worked off in blocks of it.
+#: Query vectors are sent along up to this many; more are dealt out in blocks of about as many.
 QUERY_BLOCK = 4096
+#: Data vectors of a group that meets blocks of queries.
+VECTOR_GROUP = 1 << 18
 
 
 def valid_vectors(df: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
@@ -56,12 +60,56 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _query_blocks(queries: DataFrame, vec_col: str = "embedding"):
-    """The stated query set in blocks of (ids, matrix)."""
-    rows = queries.select("query_id", vec_col).orderBy("query_id").collect()
-    for i in range(0, len(rows), QUERY_BLOCK):
-        part = rows[i : i + QUERY_BLOCK]
-        yield [r[0] for r in part], np.array([r[1] for r in part], float).reshape(len(part), -1)
+class _Best:
+    """The best k of each query so far."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, top_k: int, threshold: float | None):
+        self.ids, self.unit, self.top_k, self.threshold = ids, unit, top_k, threshold
+        self.scores = np.full((len(ids), 0), 0.0)
+        self.found = np.zeros((len(ids), 0), np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(ids):
+            return
+        # Rounded, so that equal vectors tie however a product is blocked.
+        s = np.round(self.unit @ _unit(vectors).T, 12)
+        s, i = np.hstack([self.scores, s]), np.hstack([self.found, np.broadcast_to(ids, s.shape)])
+        o = np.lexsort((i, -s), axis=1)[:, : self.top_k]
+        self.scores, self.found = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        keep = np.ones(self.scores.shape, bool) if self.threshold is None else self.scores >= self.threshold
+        at = np.broadcast_to(self.ids[:, None], self.scores.shape)
+        return pa.record_batch([pa.array(at[keep]), pa.array(self.found[keep]), pa.array(self.scores[keep])], names=["query_id", "id", "score"])
+
+
+_SCORED = "query_id long, id long, score double"
+
+
+def _dealt_knn(queries: DataFrame, vectors: DataFrame, top_k: int, threshold: float | None, block: int, group: int) -> DataFrame:
+    """Scores where queries are too many to send: every block of queries meets every group of vectors in a task.
+
+    The block's and the group's sizes bound a task; nothing passes the driver but two counts.
+    """
+    n_blocks, n_groups = -(-queries.count() // block), max(1, -(-vectors.count() // group))
+    each = F.sequence(F.lit(0), F.lit(n_groups - 1))
+    q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn("_g", F.explode(each.cast("array<bigint>")))
+    v = vectors.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(n_groups)))
+    v = v.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
+
+    def meet(qs: pa.Table, vs: pa.Table) -> pa.Table:
+        qs, vs = qs.combine_chunks(), vs.combine_chunks()
+        out = []
+        n = qs.num_rows and len(qs.column("v")[0])
+        if n and vs.num_rows:
+            best = _Best(qs.column("query_id").to_numpy(), _unit(_matrix(qs.column("v").chunk(0))), top_k, threshold)
+            ids, vecs = vs.column("id").to_numpy(), _matrix(vs.column("v").chunk(0))
+            for i in range(0, len(ids), 1 << 13):
+                best.add(ids[i : i + (1 << 13)], vecs[i : i + (1 << 13)])
+            out.append(best.rows())
+        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+    return q.groupBy("_g", "_b").cogroup(v.groupBy("_g", "_b")).applyInArrow(meet, _SCORED)
 
 
 def exact_knn(
@@ -71,38 +119,34 @@ def exact_knn(
     threshold: float | None = None,
     id_col: str = "chunk_id",
     vec_col: str = "embedding",
+    block: int = QUERY_BLOCK,
+    group: int = VECTOR_GROUP,
 ) -> DataFrame:
     """(query_id, id, score, rank): the top_k vectors by cosine of at least ``threshold``, ties by id.
 
     Vectors of another dimension than the queries' are passed over; a zero vector has cosine 0.
     """
     spark = vectors.sparkSession
-    out = None
-    for ids, q in _query_blocks(queries):
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), _unit(q)))
-
-        def best(batches, sent=sent):
-            qids, unit = sent.value
-            held_s = np.full((len(qids), 0), 0.0)
-            held_i = np.zeros((len(qids), 0), np.int64)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vec_col).alias("v")).where(F.col("v").isNotNull())
+    some = asked.limit(block + 1).collect()  # at most block + 1 rows
+    if not some:
+        return spark.createDataFrame([], _SCORED + ", rank int")
+    dim = len(some[0].v)
+    rows = valid_vectors(vectors, dim, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    if len(some) > block:
+        out = _dealt_knn(asked.where(F.size("v") == dim), rows, top_k, threshold, block, group)
+    else:
+        some.sort(key=lambda r: r.query_id)
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in some], np.int64), _unit(np.array([r.v for r in some], float))))
+
+        def best(batches):
+            held = _Best(*sent.value, top_k, threshold)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                # Rounded, so that equal vectors tie however a product is blocked.
-                s = np.round(unit @ _unit(_matrix(b.column(1))).T, 12)
-                i = np.broadcast_to(b.column(0).to_numpy(), s.shape)
-                s, i = np.hstack([held_s, s]), np.hstack([held_i, i])
-                o = np.lexsort((i, -s), axis=1)[:, :top_k]
-                held_s, held_i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
-            keep = np.ones(held_s.shape, bool) if threshold is None else held_s >= threshold
-            at = np.broadcast_to(qids[:, None], held_s.shape)
-            yield pa.record_batch([pa.array(at[keep]), pa.array(held_i[keep]), pa.array(held_s[keep])], names=["query_id", "id", "score"])
-
-        rows = valid_vectors(vectors, q.shape[1], vec_col).select(F.col(id_col).cast("long").alias("id"), vec_col)
-        part = rows.mapInArrow(best, "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+                if b.num_rows:
+                    held.add(b.column(0).to_numpy(), _matrix(b.column(1)))
+            yield held.rows()
+
+        out = rows.mapInArrow(best, _SCORED)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
@@ -245,6 +289,13 @@ def lsh_search(queries: DataFrame, buckets: DataFrame, vectors: DataFrame, confi
     return _ranked(score_pairs(pairs, queries, vectors, id_col), top_k, threshold)
 
 
+def lsh_counts(queries: DataFrame, buckets: DataFrame, vectors: DataFrame, config: LshConfig, dim: int, threshold: float, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, candidates, kept): how many members of its buckets a query meets, and how many reach the threshold."""
+    scored = score_pairs(lsh_candidates(queries, buckets, config, dim), queries, vectors, id_col)
+    found = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") >= threshold).alias("kept"))
+    return queries.select("query_id").join(found, "query_id", "left").na.fill(0, ["candidates", "kept"])
+
+
 def dense_search(queries: DataFrame, buckets: DataFrame, vectors: DataFrame, config: LshConfig, dim: int, top_k: int, threshold: float, id_col: str = "chunk_id") -> DataFrame:
     """Hash search; queries for which it finds nothing above the threshold are answered exactly."""
     near = lsh_search(queries, buckets, vectors, config, dim, top_k, threshold, id_col)
@@ -355,10 +406,11 @@ def hashed_encoder(dim: int = 384, grams: tuple[int, ...] = (3, 5)):
     return encode
 
 
-def encode(df: DataFrame, encoder, text_col: str = "text", out: str = "embedding") -> DataFrame:
+def encode(df: DataFrame, encoder, text_col: str = "text", out: str = "embedding", failed=None) -> DataFrame:
     """``df`` with a vector column from an encoder (texts -> matrix), batch by batch.
 
-    An encoder that fails leaves the vectors null, so that indexing goes on without them.
+    An encoder that fails leaves a batch's vectors null, so that indexing goes on
+    without them; it is reported, and the texts are counted in the accumulator ``failed``.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
@@ -367,7 +419,10 @@ def encode(df: DataFrame, encoder, text_col: str = "text", out: str = "embedding
             try:
                 m = encoder(b.column(b.schema.get_field_index(text_col)).to_pylist())
                 vec = pa.array([r.astype(np.float32) for r in m], pa.list_(pa.float32()))
-            except Exception:
+            except Exception as e:
+                print(f"encoder failed on {b.num_rows} texts: {e!r}", file=sys.stderr)
+                if failed is not None:
+                    failed.add(b.num_rows)
                 vec = pa.nulls(b.num_rows, pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*b.columns, vec], names=[*b.schema.names, out])
 

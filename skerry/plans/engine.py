@@ -5,14 +5,15 @@ All steps work on a table of queries (query_id, text) and build one lazy plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.query import understand
+from ..functions.query import understand_or_degrade
 from ..operators import answers, lexical, ranking, results, vectors
 from ..options import DEFAULTS, SearchOptions
+from ..schema import VERSION
 
 
 @dataclass
@@ -31,6 +32,7 @@ class SearchEngine:
     buckets: DataFrame | None = None
     lsh: vectors.LshConfig | None = None
     scorer: object = None
+    kept: list[DataFrame] = field(default_factory=list)
 
     @classmethod
     def from_tables(cls, documents: DataFrame, chunks: DataFrame, options: SearchOptions = DEFAULTS, **more) -> SearchEngine:
@@ -48,10 +50,18 @@ class SearchEngine:
         chunks = catalog.read("chunks")
         positions = catalog.read("positions")
         totals = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(positions.agg(F.count(F.lit(1)).alias("total_len"))))
+        number = catalog.snapshots()[-1]
+        if "buckets" not in more and catalog.has("lsh", number):
+            found = vectors.load_lsh(catalog.spark, catalog.path("lsh", number), VERSION)
+            if found is not None:
+                more["buckets"], more["lsh"] = found
         return cls(catalog.read("documents"), chunks, lexical.LexicalIndex(positions, totals), options, **more)
 
     def close(self) -> None:
-        self.chunks.unpersist()
+        """Let go of what the executors keep for this engine."""
+        for df in (self.chunks, *self.kept):
+            df.unpersist()
+        self.kept.clear()
 
     def sparse(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """(query_id, id, attributes, snippet, score, rank) by BM25; 3 chunks are considered for each file asked for."""
@@ -85,9 +95,12 @@ class SearchEngine:
         """Ranked files of each query; blank queries have none."""
         o = self.options
         asked = queries.where(F.trim("text") != "")
-        know = understand(asked, o.as_of_ms, mode="all" if o.expansion else "terms")
+        know = understand_or_degrade(asked, o.as_of_ms, mode="all" if o.expansion else "terms")
         sparse = self.sparse(know.select("query_id", F.col("bm25_query").alias("text")))
         if self.encoder is not None and o.dense:
+            # A few rows a query, which the skip test, the dense side and the fusion all read.
+            sparse = sparse.persist()
+            self.kept.append(sparse)
             skipped = ranking.skip_dense(sparse, o.skip_dense_files, o.skip_dense_score).where("skipped").select("query_id")
             wanted = know.select("query_id", F.col("dense_query").alias("text")).join(skipped, "query_id", "left_anti")
             dense = self.dense(vectors.encode(wanted, self.encoder).drop("text"))

@@ -224,13 +224,13 @@ def dense_hydrate(spark, sf):
 
 
 def minmax_norm(spark, sf):
-    e = _t(spark, sf, "events")
-    return e.select("event_id", _r(ranking.min_max(F.col("value"), "event_type")).alias("norm"))
+    e = ranking.normalized(_t(spark, sf, "events"), "value", "event_type", "n")
+    return e.select("event_id", _r("n").alias("norm"))
 
 
 def zscore_norm(spark, sf):
-    e = _t(spark, sf, "events")
-    return e.select("event_id", _r(ranking.z_score(F.col("value"), "event_type")).alias("z"))
+    e = ranking.normalized(_t(spark, sf, "events"), "value", "event_type", "n", "z_score")
+    return e.select("event_id", _r("n").alias("z"))
 
 
 def _fused(spark, sf):
@@ -494,6 +494,7 @@ def hybrid_search(spark, sf):
     enc = vectors.hashed_encoder(64)
     engine = SearchEngine.from_tables(d, vectors.encode(c, enc), DEFAULTS.update(dim=64, sparse_limit=RANK_LIMIT), encoder=enc, scorer=overlap_scorer)
     found = engine.search(_match(spark))
+    # The engine's kept tables go when the session clears its cache; the result is recomputed without them if need be.
     return found.select("query_id", "id", "file_path", _r("best_score").alias("best_score"), "rank")
 
 

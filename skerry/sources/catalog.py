@@ -41,18 +41,45 @@ class Catalog:
             return None
         return self.spark.read.parquet(self.path(table, found[-1] if snapshot is None else snapshot))
 
-    def commit(self, tables: dict[str, DataFrame], sort: dict[str, list[str]] | None = None) -> int:
-        """Write a snapshot of all tables. Tables named in ``sort`` are laid out by those columns for pruning."""
+    def claim(self) -> int:
+        """The number of a new snapshot, which no other writer has or gets."""
         number = (self.snapshots() or [0])[-1] + 1
+        while True:
+            p, fs = self._fs(f"{self.root}/v{VERSION}/{number}/_CLAIMED")
+            try:
+                fs.create(p, False).close()
+                return number
+            except Exception:
+                if not fs.exists(p):
+                    raise
+                number += 1
+
+    def commit(self, tables, sort: dict[str, list[str]] | None = None, number: int | None = None, more=None) -> int:
+        """Write a snapshot of all tables; its marker is written last.
+
+        Tables named in ``sort`` are laid out by those columns for pruning. ``more`` is
+        called with the number before the marker, for tables made from the stored ones.
+        """
+        number = self.claim() if number is None else number
         for name, df in tables.items():
             keys = (sort or {}).get(name)
             if keys:
                 df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name, number))
+        if more is not None:
+            more(number)
         p, fs = self._fs(f"{self.root}/v{VERSION}/{number}/_COMMITTED")
         fs.create(p, True).close()
         return number
 
+    def drop(self, table: str, number: int) -> None:
+        p, fs = self._fs(self.path(table, number))
+        fs.delete(p, True)
+
+    def has(self, table: str, number: int) -> bool:
+        p, fs = self._fs(self.path(table, number))
+        return fs.exists(p)
+
     def clear(self) -> None:
         p, fs = self._fs(self.root)
         fs.delete(p, True)

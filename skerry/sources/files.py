@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicon import PARSEABLE
+from .pdf import pdf_text
 
 #: Text files are read up to this many bytes.
 MAX_BYTES = 100_000
 
 #: Parsers for formats that aren't plain text: extension -> function from bytes to text (or None).
-PARSERS: dict[str, Callable[[bytes], str | None]] = {}
+PARSERS: dict[str, Callable[[bytes], str | None]] = {"pdf": pdf_text}
 
 
 def extension(path) -> F.Column:
@@ -118,16 +122,34 @@ def html_text(html) -> F.Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-@F.pandas_udf(T.BinaryType())
-def vector_to_bytes(vectors):
+def vector_to_bytes(vectors) -> F.Column:
     """Little-endian 32-bit floats; null stays null."""
-    import numpy as np
+    return _to_bytes(vectors)
 
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
+def bytes_to_vector(blobs) -> F.Column:
+    return _to_vector(blobs)
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def bytes_to_vector(blobs):
-    import numpy as np
 
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+@F.arrow_udf(T.BinaryType())
+def _to_bytes(vectors: pa.Array) -> pa.Array:
+    body = vectors.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+    size = 4 * np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int32)
+    return _binary(body, size, vectors.is_valid())
+
+
+def _binary(body: bytes, size: np.ndarray, valid: pa.Array) -> pa.Array:
+    ends = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=ends[1:])
+    mask = np.packbits(valid.to_numpy(zero_copy_only=False), bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(size), [pa.py_buffer(mask), pa.py_buffer(ends.tobytes()), pa.py_buffer(body)])
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _to_vector(blobs: pa.Array) -> pa.Array:
+    raw = blobs.fill_null(b"")
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
+    body = raw.buffers()[2]
+    values = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]].view("<f4") if body is not None else np.zeros(0, "<f4")
+    lists = pa.ListArray.from_arrays(pa.array((ends - ends[0]) // 4), pa.array(values, pa.float32()))
+    return pc.if_else(blobs.is_valid(), lists, pa.scalar(None, lists.type)) if blobs.null_count else lists

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,19 +14,53 @@ from ..plans.indexing import index_table
 from ..sources.catalog import Catalog
 
 
-def stream_index(docs: DataFrame, catalog: Catalog, checkpoint: str, options: SearchOptions = DEFAULTS, encoder=None, once: bool = True) -> StreamingQuery:
+T = TypeVar("T")
+ATTEMPTS = 3
+
+
+def retrying(run: Callable[[], T], attempts: int = ATTEMPTS) -> T:
+    """What ``run`` returns, tried up to ``attempts`` times; the last failure is raised."""
+    for attempt in range(1, attempts + 1):
+        try:
+            return run()
+        except Exception:
+            if attempt == attempts:
+                raise
+    raise ValueError("attempts must be at least 1")
+
+
+def scheduled(spark: SparkSession, name: str, start: Callable[[], StreamingQuery], policy: str = "keep") -> StreamingQuery:
+    """The active query of that name: under "keep" the one that runs, under "replace" a new one after it is stopped."""
+    if policy not in ("keep", "replace"):
+        raise ValueError(f"unknown policy {policy}")
+    running = next((q for q in spark.streams.active if q.name == name), None)
+    if running is not None and policy == "keep":
+        return running
+    if running is not None:
+        running.stop()
+    return start()
+
+
+def stream_index(
+    docs: DataFrame, catalog: Catalog, checkpoint: str, options: SearchOptions = DEFAULTS, encoder=None, once: bool = True, name: str | None = None, policy: str = "keep"
+) -> StreamingQuery:
     """Index a stream of document rows (with body). ``once`` takes what is there and stops; else every six hours.
 
-    A batch that is repeated after a failure finds its documents unchanged and skips them.
+    A batch is tried up to three times. One that is repeated after a failure finds its
+    documents unchanged and skips them. ``name`` and ``policy`` say what happens if
+    such a query runs already.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
         w = Window.partitionBy("file_path").orderBy(F.desc("modified_at"))
         last = df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-        index_table(df.sparkSession, catalog, last, options, encoder)
+        retrying(lambda: index_table(df.sparkSession, catalog, last, options, encoder))
 
     out = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if once else out.trigger(processingTime="6 hours")).start()
+    out = out.trigger(availableNow=True) if once else out.trigger(processingTime="6 hours")
+    if name is None:
+        return out.start()
+    return scheduled(docs.sparkSession, name, out.queryName(name).start, policy)
 
 
 def latest_queries(batch: DataFrame) -> DataFrame:

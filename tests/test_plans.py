@@ -1,6 +1,7 @@
 """Files to index to answers; incremental runs; streams."""
 
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from skerry.operators.vectors import hashed_encoder
 from skerry.options import DEFAULTS, SearchOptions
 from skerry.plans.engine import ResultCache, SearchEngine, overlap_scorer
+from skerry.plans import indexing
 from skerry.plans.indexing import index_files, index_table
 from skerry.sources import files
 from skerry.sources.catalog import Catalog, upsert
@@ -54,18 +56,23 @@ def test_only_the_first_bytes_are_read(spark, tmp_path):
 def test_parsers_plug_in(spark, tmp_path, monkeypatch):
     (tmp_path / "a.pdf").write_bytes(b"%PDF text")
     assert files.parse_files(files.scan_files(spark, [str(tmp_path)])).first().body is None
-    monkeypatch.setitem(files.PARSERS, "pdf", lambda b: b.decode()[5:])
-    assert files.parse_files(files.scan_files(spark, [str(tmp_path)])).first().body == "text"
+    shown = zlib.compress(rb"BT /F1 12 Tf 72 700 Td (Deep \(very\) lear) Tj (ning) Tj 0 -14 Td [(note) -300 (book) 20 (s)] TJ T* <636166e9> Tj ET")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\n1 0 obj\n<< /Length 9 /Filter /FlateDecode >>\nstream\n" + shown + b"\nendstream\nendobj\n%%EOF")
+    assert files.parse_files(files.scan_files(spark, [str(tmp_path)])).first().body == "Deep (very) learning\nnote books\ncafé"
+    monkeypatch.setitem(files.PARSERS, "pdf", lambda b: b.decode("latin-1")[5:12])
+    assert files.parse_files(files.scan_files(spark, [str(tmp_path)])).first().body == "1.4\n1 0"
 
 
-def test_index_search_answer(spark, root):
+def test_index_search_answer(spark, root, monkeypatch):
+    monkeypatch.setattr(indexing, "FLAT_BELOW", 1)
     catalog = Catalog(spark, str(root / "index"))
     enc = hashed_encoder(64)
     options = SearchOptions(dim=64, expansion=False)
     assert counters(index_files(spark, catalog, [str(root / "docs")], options, enc)) == (4, 0, 0, 1)
     assert catalog.snapshots() == [1] and catalog.size() > 0
-    assert catalog.read("lsh_buckets").select("table").distinct().count() == 5
+    assert not catalog.has("_chunks", 1) and not catalog.has("_scanned", 1)
     engine = SearchEngine.open(catalog, options, encoder=enc, scorer=overlap_scorer)
+    assert engine.buckets.select("table").distinct().count() == engine.lsh.tables
     q = spark.createDataFrame([(1, "machine learning"), (2, "   "), (3, "kotlin coroutines")], "query_id long, text string")
     got = {}
     for r in engine.search(q).orderBy("query_id", "rank").collect():
@@ -78,6 +85,37 @@ def test_index_search_answer(spark, root):
     assert {os.path.basename(r.file_path) for r in lexical} == {"ML_Intro_Guide.txt"}
 
 
+def test_encoder_runs_once_and_failures_are_counted(spark, root):
+    calls = spark.sparkContext.accumulator(0)
+
+    def enc(texts):
+        calls.add(len(texts))
+        if any("kotlin" in t.lower() for t in texts):
+            raise ValueError("no")
+        return hashed_encoder(8)(texts)
+
+    catalog = Catalog(spark, str(root / "index"))
+    got = index_files(spark, catalog, [str(root / "docs")], SearchOptions(dim=8), enc).first()
+    chunks = catalog.read("chunks")
+    assert calls.value == chunks.count() == 4
+    assert got.unencoded == chunks.where("embedding is null").count() > 0
+
+
+def test_two_writers_take_two_numbers(spark, tmp_path):
+    a, b = (Catalog(spark, str(tmp_path / "index")) for _ in range(2))
+    assert (a.claim(), b.claim()) == (1, 2)
+
+
+def test_term_filter_reaches_the_stored_positions(spark, root):
+    catalog = Catalog(spark, str(root / "index"))
+    index_files(spark, catalog, [str(root / "docs")])
+    q = spark.createDataFrame([(1, "mach learning"), (2, "kotl")], "query_id long, text string")
+    found = SearchEngine.open(catalog).sparse(q)
+    plan = found._jdf.queryExecution().toString()
+    assert "StringStartsWith(term,mach)" in plan and "StringStartsWith(term,kotl)" in plan
+    assert found.count() > 0
+
+
 def test_incremental_runs(spark, root):
     catalog = Catalog(spark, str(root / "index"))
     where = [str(root / "docs")]
@@ -174,3 +212,36 @@ def test_settings_reach_the_search(spark):
     few = SearchEngine.from_tables(docs, chunks, SearchOptions(dim=2, mmr_limit=5))
     assert few.search(q).count() == 5
     few.close()
+
+
+def test_retries_and_policies(spark, tmp_path):
+    tries = []
+
+    def flaky(n):
+        def run():
+            tries.append(1)
+            if len(tries) < n:
+                raise ValueError("again")
+            return len(tries)
+
+        return run
+
+    assert indexer.retrying(flaky(3)) == 3
+    tries.clear()
+    with pytest.raises(ValueError):
+        indexer.retrying(flaky(4))
+    assert len(tries) == 3
+
+    rate = spark.readStream.format("rate").load()
+
+    def start():
+        return rate.writeStream.format("noop").queryName("index").trigger(processingTime="1 hour").start()
+
+    first = indexer.scheduled(spark, "index", start)
+    try:
+        assert indexer.scheduled(spark, "index", start).id == first.id
+        second = indexer.scheduled(spark, "index", start, "replace")
+        assert second.id != first.id and not first.isActive and second.isActive
+        second.stop()
+    finally:
+        first.stop()

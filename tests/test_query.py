@@ -100,3 +100,14 @@ def test_nothing_fires_on_nothing(know):
 
 def test_null_query(know):
     assert know(None).normalized == "" and know(None).tokens == []
+
+
+def test_degraded_queries(spark):
+    raw = spark.createDataFrame([(1, "Kotlin PDF"), (2, None)], "query_id long, text string")
+    whole = Q.understand(raw, 0)
+    got = Q.understand_or_degrade(raw, 0, vocab="no such column")
+    assert got.schema.fieldNames() == whole.schema.fieldNames()
+    one, two = got.orderBy("query_id").collect()
+    assert one.bm25_query == one.dense_query == one.normalized == "kotlin pdf" and one.key_terms == ["kotlin", "pdf"] and one.entities == []
+    assert (one.intent.intent, one.intent.confidence, one.intent.reasoning) == ("EXPLORATION", 0.5, "fallback") and two.bm25_query == ""
+    assert one.filters.file_type is None

@@ -124,3 +124,31 @@ def test_health(spark):
     assert tuple(evaluation.index_health(d, c).first()) == (1, 1, 5, 7, True)
     assert tuple(evaluation.index_health(d.limit(0), c.limit(0)).first()) == (0, 0, 0, 0, False)
     assert not evaluation.index_health(d, c.limit(0)).first().healthy
+
+
+def test_last_list_gives_the_attributes(spark):
+    a = spark.createDataFrame([(1, 7, 1, "sparse"), (1, 8, 2, "only")], "query_id long, id long, rank int, snippet string")
+    b = spark.createDataFrame([(1, 7, 3, "dense")], a.schema)
+    got = {r.id: (r.snippet, r.rank) for r in ranking.reciprocal_ranks([a, b], attributes=("snippet",)).collect()}
+    assert got == {7: ("dense", 1), 8: ("only", 2)}
+
+
+def test_pairs_are_scored_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scorer(q, i):
+        calls.add(1)
+        return float(i)
+
+    rows = spark.createDataFrame([(1, 5, "Tea"), (2, 5, "tea"), (3, 6, "tea"), (4, 5, "milk")], "query_id long, id long, _q string")
+    got = ranking.score_once(rows, scorer.asNondeterministic()("_q", "id")).collect()
+    assert sorted((r.query_id, r.pair_score) for r in got) == [(1, 5.0), (2, 5.0), (3, 6.0), (4, 5.0)] and calls.value == 3
+
+
+def test_normalized_in_groups(spark):
+    rows = spark.createDataFrame([("a", 2.0), ("a", 4.0), ("a", 6.0), ("b", 3.0), ("b", 3.0), (None, 1.0), (None, 2.0), ("a", None)], "k string, v double")
+    got = [(r.k, r.v, r.n) for r in ranking.normalized(rows, "v", "k", "n").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [("a", 2.0, 0.0), ("a", 4.0, 0.5), ("a", 6.0, 1.0), ("b", 3.0, 0.5), ("b", 3.0, 0.5), (None, 1.0, 0.0), (None, 2.0, 1.0), ("a", None, None)]))
+    z = {r.v: r.n for r in ranking.normalized(rows.where("k = 'a' and v is not null"), "v", "k", "n", "z_score").collect()}
+    assert z[4.0] == 0.0 and abs(z[6.0] - 1.5**0.5) < 1e-9

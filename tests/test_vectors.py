@@ -91,6 +91,14 @@ def test_candidates_are_cut_in_table_order(spark):
     assert got == [0, 3, 4, 5, 6, 7]
 
 
+def test_queries_too_many_to_send_are_dealt_out(data):
+    m, df, q = data
+    many = df.where("chunk_id % 7 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    for threshold in (None, 0.3):
+        sent, dealt = (by_query(V.exact_knn(many, df, 5, threshold, block=b, group=g)) for b, g in ((4096, 1 << 18), (10, 150)))
+        assert sent == dealt == {i: exact(m, i, 5, threshold) for i in range(0, 600, 7)}
+
+
 def test_fallback_is_exact(spark, data):
     m, df, q = data
     c = V.LshConfig(1, 8, 48, 50)
@@ -184,3 +192,12 @@ def test_vocab_file(spark, tmp_path):
     assert vocab.read_vocab(spark, str(tmp_path / "none.txt")) == {}
     with pytest.raises(Exception):
         vocab.read_vocab(spark, str(tmp_path / "none.txt"), lenient=False)
+
+
+def test_candidate_counts(data):
+    m, df, q = data
+    c = V.LshConfig(3, 4, 48, None)
+    b = V.lsh_buckets(df, c, 24)
+    got = {r.query_id: (r.candidates, r.kept) for r in V.lsh_counts(q, b, df, c, 24, 0.3).collect()}
+    found = by_query(V.lsh_search(q, b, df, c, 24, 600, 0.3))
+    assert {i: k for i, (_, k) in got.items()} == {i: len(found[i]) for i in got} and all(n >= k > 0 for n, k in got.values())
