@@ -96,7 +96,7 @@ def test_queries_too_many_to_send_are_dealt_out(data):
     many = df.where("chunk_id % 7 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     for threshold in (None, 0.3):
         sent, dealt = (by_query(V.exact_knn(many, df, 5, threshold, block=b, group=g)) for b, g in ((4096, 1 << 18), (10, 150)))
-        assert sent == dealt == {i: exact(m, i, 5, threshold) for i in range(0, 600, 7)}
+        assert sent == dealt == {i: exact(m, i, 5, -2.0 if threshold is None else threshold) for i in range(0, 600, 7)}
 
 
 def test_fallback_is_exact(spark, data):
