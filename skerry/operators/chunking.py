@@ -12,14 +12,16 @@ from ..options import DEFAULTS, SearchOptions
 IDS_PER_FILE = 100_000
 
 
-#: Inputs of up to so many bytes may lie in a single row group, which a single task would read.
+#: A single file of up to so many bytes may be a single row group, which a single task would read.
 SMALL_BYTES = 64 << 20
 
 
 def spread(rows: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
-    """``rows`` dealt to all cores if they are few bytes; larger inputs come in enough splits as they are."""
+    """``rows`` dealt to all cores if they are one small file; larger inputs come in enough splits as they are."""
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= limit else rows
+    if size > limit or len(rows.inputFiles()) != 1:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def chunk_documents(docs: DataFrame, options: SearchOptions = DEFAULTS, id_col: str = "id", text_col: str = "text", hashed_ids: bool = False) -> DataFrame:
